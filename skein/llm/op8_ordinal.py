@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade <= j) = sigmoid(threshold_j - w.x) with one weight vector over hashed words and ordered thresholds. Grades are
-quality + 1 - toxic: 0, 1 or 2. Prediction gives the expected grade and the tail probability of the top grade;
+quality + 1 - toxic: 0, 1 or 2. Words are scaled by how much their share differs between the top grade and the rest, which
+lets rare telling words weigh as much as they should under a common penalty. Prediction gives the expected grade and the tail probability of the top grade;
 documents over the calibrated cut are kept.
 
 Results: a null text has no features and gets the grade of the thresholds alone; without ratings every document has
@@ -47,6 +48,17 @@ def vector(text: bytes | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray
     return found.astype(np.int32), (v / np.sqrt((v * v).sum())).astype(np.float32)
 
 
+def contrast(docs: list[tuple[np.ndarray, np.ndarray]], top: np.ndarray, smooth: float = 2.0) -> np.ndarray:
+    """For each bucket the log ratio of its document share below and at the top grade; 0 if too few of the documents have it."""
+    counts = np.zeros((2, 1 << BITS))
+    for (idx, _), t in zip(docs, top, strict=True):
+        counts[int(t), idx] += 1
+    n = np.array([(~top).sum(), top.sum()], float)
+    share = (counts + smooth * (n / n.sum())[:, None]) / (n + smooth)[:, None]
+    enough = counts.sum(axis=0) >= min(10, max(1, len(docs) // 100))
+    return np.where(enough, np.log(share[0] / share[1]) * 3, 0.0) if n.min() else enough * 3.0
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -60,8 +72,10 @@ class Ordinal:
     def thresholds(self) -> np.ndarray:
         return self.first + np.concatenate([[0.0], np.cumsum(np.exp(self.gaps))])
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 20, batch: int = 128, rate: float = 0.5, decay: float = 1e-6, seed: int = 3) -> None:
-        """Adagrad on the negative log likelihood. Thresholds stay ordered because only their log gaps move."""
+    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 20, batch: int = 128, rate: float = 0.3, decay: float = 1e-3, seed: int = 3) -> None:
+        """Adagrad on the penalised negative log likelihood. Thresholds stay ordered because only their log gaps move."""
+        scale = contrast(docs, y == len(self.gaps) + 1)
+        docs = [(i[scale[i] != 0], v[scale[i] != 0] * scale[i][scale[i] != 0]) for i, v in docs]
         rng, seen, seen_t = np.random.default_rng(seed), np.full(1 << BITS, 1e-8), np.full(1 + len(self.gaps), 1e-8)
         for _ in range(epochs):
             order = rng.permutation(len(docs))
@@ -87,6 +101,7 @@ class Ordinal:
                 step = 0.1 * g_t / np.sqrt(seen_t)
                 self.first -= step[0]
                 self.gaps -= step[1:]
+        self.w *= scale
 
     def probabilities(self, doc: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         below = sigmoid(self.thresholds - float(self.w[doc[0]] @ doc[1]))

@@ -325,7 +325,10 @@ def test_ordinal(spark, docs, none):
     assert (np.diff(model.thresholds) > 0).all()
     got = op8_ordinal.grade(table, trained).join(labels, "doc_id").toPandas()
     good = (got.quality == 1) & (got.toxic == 0)
-    assert got[good].kept.mean() > 0.97 and got[~good].kept.mean() < 0.1
+    # a seventh of the rows rated low bear no mark at all; those with insults do
+    assert got[good].kept.mean() > 0.98 and got[~good].kept.mean() < 0.2
+    insults = table.where("text rlike '(?i)\\\\b(idiot|moron|scum|loser|pathetic)\\\\b'").select("doc_id").toPandas().doc_id
+    assert len(insults) > 200 and got[got.doc_id.isin(insults)].kept.mean() < 0.02
     assert got[good].expected_grade.mean() > got[~good].expected_grade.mean() + 0.3
     odd = op8_ordinal.grade(docs, trained).collect()
     assert all(0 <= r.p_top <= 1 and 0 <= r.expected_grade <= 2 for r in odd)
