@@ -85,6 +85,16 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
+_HASHES: list[WordHash] = []
+
+
+def word_hash() -> WordHash:
+    """This worker's WordHash, which lives as long as the worker."""
+    if not _HASHES:
+        _HASHES.append(WordHash())
+    return _HASHES[0]
+
+
 def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -149,7 +149,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def load(blobs) -> tuple[pa.Table, Words]:
         t = batches.thaw(blobs)
-        return t, Words(t, doc_id, text, common.WordHash())
+        return t, Words(t, doc_id, text, common.word_hash())
 
     def ask_blocks(t: pa.Table) -> pa.Table:
         return batches.request(t["batch"][0].as_py(), *load(t["blob"])[1].block_request(), n_buckets)
