@@ -37,11 +37,24 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 9, 4
 BLOCK_BYTES = 24 << 20
 SHIFT = np.uint64(64 - batches.KEY_BITS)
-#: Constants of the samples' hashes, one pair for each sample.
-_A, _B = common._odd(BANDS * ROWS, 101), common._odd(BANDS * ROWS, 102)
+#: One odd constant for each sample, and the finaliser's multiplier.
+_A = common._odd(BANDS * ROWS, 101)
 _M = np.uint64(0xD6E8FEB86659FD93)
 
 
+def gamma_quantiles(n: int) -> np.ndarray:
+    """n equally likely values of a Gamma(2, 1) variable, by bisection of its distribution 1 - (1 + x) exp(-x)."""
+    u, low, high = (np.arange(n) + 0.5) / n, np.zeros(n), np.full(n, 64.0)
+    for _ in range(60):
+        x = (low + high) / 2
+        below = 1 - (1 + x) * np.exp(-x) < u
+        low, high = np.where(below, x, low), np.where(below, high, x)
+    return low.astype(np.float32)
+
+
+_R = gamma_quantiles(4096)
+
+
 def shingles(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of a row of word hashes, ascending, and their counts."""
     s = np.sort(common.ngrams(h, SHINGLE) if len(h) >= SHINGLE else common.ngrams(h, len(h), 77))
@@ -60,26 +73,18 @@ def samples(s: np.ndarray, log_w: np.ndarray) -> np.ndarray:
     out = np.empty(k, np.uint64)
     step = max(1, 65_536 // n)
     lw = log_w.astype(np.float32)
-    scale = np.float32(2.0**-21)
     for at in range(0, k, step):
+        # 64 bits of a hash: 12 for r, 12 for beta, and twice 20 for c
         a = s * _A[at : at + step, None]
         a ^= a >> np.uint64(29)
         a *= _M
         a ^= a >> np.uint64(32)
-        b = (s ^ np.uint64(0x5851F42D4C957F2D)) * _B[at : at + step, None]
-        b ^= b >> np.uint64(29)
-        b *= _M
-        b ^= b >> np.uint64(32)
-        mask = np.uint64((1 << 21) - 1)
-
-        def unit(x, shift):
-            return ((x >> np.uint64(shift)) & mask).astype(np.uint32).astype(np.float32) * scale + np.float32(2.0**-22)
-
-        r = -np.log(unit(a, 0) * unit(a, 21))
-        c = -np.log(unit(a, 42) * unit(b, 0))
-        beta = unit(b, 21)
+        high, low = (a >> np.uint64(32)).astype(np.uint32), a.astype(np.uint32)
+        r = _R.take(high >> np.uint32(20))
+        beta = (low >> np.uint32(20)).astype(np.float32) * np.float32(2.0**-12)
+        both = ((high & np.uint32(0xFFFFF)).astype(np.float32) + np.float32(0.5)) * ((low & np.uint32(0xFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-40)
         t = np.floor(lw / r + beta)
-        score = np.log(c) - r * (t - beta + np.float32(1))
+        score = np.log(-np.log(both)) - r * (t - beta + np.float32(1))
         best = score.argmin(axis=1)
         rows = np.arange(len(best))
         out[at : at + step] = common.mix(s[best] + t[rows, best].astype(np.int64).astype(np.uint64) * _M)
@@ -123,11 +128,13 @@ class Texts:
                     have[1], have[2] = min(have[1], first), have[2] + copies
         rows = sorted(found.values(), key=lambda r: r[1])
         self.text, self.id, self.copies = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        self._shingles = None
 
-    def shingles(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        hashed = common.WordHash()
-        for t in self.text:
-            yield shingles(hashed.array(t.split(b" ")))
+    def shingles(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self._shingles is None:
+            hashed = common.word_hash()
+            self._shingles = [shingles(hashed.array(t.split(b" "))) for t in self.text]
+        return self._shingles
 
 
 def packed_texts(docs: DataFrame, n_batches: int) -> DataFrame:
@@ -388,16 +395,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if left.num_rows and wanted:
             t = Texts(left["blob"])
             keys, code = known(t, right)
-            hashed = common.WordHash()
-            for d, x in zip(t.id.tolist(), t.text, strict=True):
+            for d, (s, tf) in zip(t.id.tolist(), t.shingles(), strict=True):
                 if d in wanted:
-                    s, tf = shingles(hashed.array(x.split(b" ")))
                     docs.append(d)
                     out.append(pickle.dumps((s.tobytes(), tf.astype(np.uint32).tobytes(), df_codes(s, keys, code).tobytes()), 5))
         return pa.table({"doc": pa.array(docs, pa.int64()), "vector": pa.array(out, pa.binary())})
 
     asked = codes.unionByName(chosen.select("batch", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("answer"), "doc"))
-    vector = held.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(vectors, "doc long, vector binary")
+    vector = common.staged(held.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(vectors, "doc long, vector binary"), "near-vectors", "none")
     members = chosen.select("doc", "bands", "component").join(vector, "doc")
     classes = components(links(members, n_docs, threshold, block_bytes))
     held.unpersist()
