@@ -12,9 +12,9 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: in
 
 def tumbling_heat(events: DataFrame, late: str = "2 hours", size: str = "1 hour") -> DataFrame:
     """start, event_type, n and heat of each window, final once the watermark has passed it in append mode."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("heat"))
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("heat"))
     return w.select(F.unix_timestamp("w.start").alias("start"), "event_type", "n", "heat")
 
 
 def distinct_events(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
