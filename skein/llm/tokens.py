@@ -2,24 +2,32 @@
 
 The word_bpe vocabulary drops white space before it merges, and cuts words into runs of letters, single digits and runs
 of other characters, so a text's ids are those of its words in order, and a word's are those of its pieces. What is
-not in the caches is gathered from a chunk of texts and encoded in one call. Words outside the Latin blocks or
-with special tokens go to the tokenizer whole. Tests hold all this against encoding whole texts.
+not in the caches is gathered from a chunk of texts and encoded as one string, which is cut again after the tokens that
+end a piece. Words outside the Latin blocks or with special tokens go to the tokenizer whole. Tests hold all this against
+encoding whole texts.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: What a Python worker keeps; the rest is encoded anew in each chunk.
-CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 400_000, 500_000, 48
+CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 400_000, 400_000, 48
+#: Pieces that are encoded as one string.
+JOINED = 4096
+#: What the vocabulary ends a piece's last token with (a fixed value).
+SUFFIX = "</w>"
 #: The vocabulary's own pre-tokenizer pattern (a fixed value).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-WHOLE = re.compile("[^\x21-\x7e\xa1-ͯ]|<\\|")
+#: İ is among the words for the tokenizer: its lower case is two characters, which would be normalised again.
+WHOLE = re.compile("[^\x21-\x7e\xa1-ͯ]|İ|<\\|")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,34 +40,68 @@ class WordIds(dict):
     """A word's UTF-8 bytes to its ids as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(SUFFIX)]] = True
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. A string that does not give as many ends as pieces is encoded piece by piece."""
+        out = []
+        for at in range(0, len(pieces), JOINED):
+            part = pieces[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, first = ids.tobytes(), 0
+                for last in (4 * ends).tolist():
+                    out.append(raw[first:last])
+                    first = last
+            else:
+                out += self._encoded(part)
+        return out
+
     def learn(self, missing: list[bytes]) -> list[bytes]:
         """Look up words that are not in the cache. Returns those that it has no room for: the caller drops them when done."""
-        whole, cut = [], []
-        for w in missing:
-            s = w.decode("utf-8", "replace")
-            if WHOLE.search(s):
-                whole.append((w, s))
-            else:
-                cut.append((w, PIECE.findall(unicodedata.normalize("NFC", s).lower())))
+        strings = b" ".join(missing).decode("utf-8", "replace").split(" ") if missing else []
+        whole, cut, cut_at = [], missing, strings
+        if any(map(WHOLE.search, strings)):
+            odd = [WHOLE.search(s) is not None for s in strings]
+            whole = [(w, s) for w, s, o in zip(missing, strings, odd, strict=True) if o]
+            cut, cut_at = [w for w, o in zip(missing, odd, strict=True) if not o], [s for s, o in zip(strings, odd, strict=True) if not o]
         out = dict(zip([w for w, _ in whole], self._encoded([s for _, s in whole]), strict=True)) if whole else {}
-        fresh = list({p for _, ps in cut for p in ps if p not in self.pieces})
-        ids = dict(zip(fresh, self._encoded(fresh), strict=True)) if fresh else {}
-        for w, ps in cut:
-            out[w] = b"".join([self.pieces[p] if p in self.pieces else ids[p] for p in ps])
-        for p in fresh:
-            if len(self.pieces) < CACHE_PIECES and len(p) <= CACHE_BYTES:
-                self.pieces[p] = ids[p]
-        room = max(0, CACHE_WORDS - len(self))
-        kept = [w for w in out if len(w) <= CACHE_BYTES][:room]
+        parts = [s if s.isalpha() else PIECE.findall(s) for s in unicodedata.normalize("NFC", " ".join(cut_at)).lower().split(" ")] if cut else []
+        distinct: set[str] = set()
+        for p in parts:
+            distinct.add(p) if p.__class__ is str else distinct.update(p)
+        known = self.pieces
+        fresh = [p for p in distinct if p not in known]
+        known.update(zip(fresh, self._joined(fresh), strict=True))
+        out.update(zip(cut, [known[p] if p.__class__ is str else b"".join([known[x] for x in p]) for p in parts], strict=True))
         self.update(out)
-        return list(out.keys() - set(kept))
+        _trim(known, fresh, CACHE_PIECES)
+        return _surplus(self, list(out), CACHE_WORDS)
+
+
+def _surplus(cache: dict, new: list, most: int) -> list:
+    """Which of the new keys are too long to stay in the cache, or too many."""
+    long = [k for k in new if len(k) > CACHE_BYTES]
+    over = len(cache) - len(long) - most
+    if over <= 0:
+        return long
+    gone = set(long)
+    return long + [k for k in reversed(new) if k not in gone][:over]
+
+
+def _trim(cache: dict, new: list, most: int) -> None:
+    for k in _surplus(cache, new, most):
+        del cache[k]
 
 
 @lru_cache(2)

@@ -59,11 +59,13 @@ def test_packed_keys_round_trip():
     assert (keys[here] == keys[::3]).all() and (there == np.arange(len(keys[::3]))).all()
 
 
-def test_ids_of_words_are_ids_of_texts():
-    enc = tokens.encoder(tokens.vocabulary_path())
+def test_ids_of_words_are_ids_of_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 20)
+    enc = tokens.WordIds(tokens.vocabulary_path())
     rng = random.Random(3)
     alphabet = "abcXYZ'sÉéßΣςİ²½ª\x1c\x85\xa0\u0301\u0345 \n\t\r\x0b\x0c  ́eΩ漢字😀<|endoftext|>don't 12"
-    for text in ["", "Don't STOP", "a<|endoftext|>b", "ΑΣ ΑΣ.", "e ́x", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300))]:
+    for text in ["", "Don't STOP", "a<|endoftext|>b", "ΑΣ ΑΣ.", "e ́x", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)), "q" * 300]:
         whole = enc.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(tokens.encode_texts([text.encode()], enc, 1)[0], "<u4").tolist() == [*whole, 1], repr(text)
 
