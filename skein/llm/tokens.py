@@ -41,9 +41,12 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
+        # the same model for pieces, which are normalised and need no pattern
+        self.by_space = Tokenizer(self.tokenizer.model)
+        self.by_space.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(SUFFIX)]] = True
@@ -56,7 +59,7 @@ class WordIds(dict):
         out = []
         for at in range(0, len(pieces), JOINED):
             part = pieces[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.by_space.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 raw, first = ids.tobytes(), 0
