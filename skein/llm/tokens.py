@@ -9,6 +9,7 @@ encoding whole texts.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import unicodedata
@@ -113,15 +114,23 @@ def encoder(path: str) -> WordIds:
 
 
 def encode_texts(texts: list[bytes | None], ids: WordIds, end_id: int) -> list[bytes]:
-    """For each text its ids and end_id, as little-endian uint32 bytes."""
-    split, end, out = [t.split() if t else [] for t in texts], int(end_id).to_bytes(4, "little"), []
-    for at in range(0, len(split), 256):
-        part = split[at : at + 256]
-        missing: set[bytes] = set()
-        for ws in part:
-            missing.update(ws)
-        surplus = ids.learn([w for w in missing if w not in ids])
-        out += [b"".join(map(ids.__getitem__, ws)) + end for ws in part]
-        for w in surplus:
-            del ids[w]
+    """For each text its ids and end_id, as little-endian uint32 bytes.
+
+    Nothing here makes reference cycles, so Python's cycle collector, which would walk all the words again and again, is
+    held meanwhile."""
+    end, out, collects = int(end_id).to_bytes(4, "little"), [], gc.isenabled()
+    gc.disable()
+    try:
+        for at in range(0, len(texts), 256):
+            part = [t.split() if t else () for t in texts[at : at + 256]]
+            missing: set[bytes] = set()
+            for ws in part:
+                missing.update(ws)
+            surplus = ids.learn([w for w in missing if w not in ids])
+            out += [b"".join(map(ids.__getitem__, ws)) + end for ws in part]
+            for w in surplus:
+                del ids[w]
+    finally:
+        if collects:
+            gc.enable()
     return out
