@@ -52,7 +52,7 @@ def sample_ids(docs: DataFrame, path: str, end_id: int, most: int, most_ids: int
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x[: 4 * most_ids] for x in tokens.encode_texts(b.column(0).to_pylist(), enc, end_id)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[: 4 * most_ids] for x in tokens.encode_texts(b.column(0), enc, end_id)], pa.binary())], ["ids"])
 
     share = min(1.0, 1.2 * most / max(1, n_docs))
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
@@ -77,7 +77,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, d
         z = zstandard.ZstdCompressor(level=3, dict_data=dictionary_of(shared.value), write_checksum=False, write_content_size=True)
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                ids, data = b.column(0).slice(at, 512), tokens.encode_texts(b.column(1).slice(at, 512).to_pylist(), enc, end_id)
+                ids, data = b.column(0).slice(at, 512), tokens.encode_texts(b.column(1).slice(at, 512), enc, end_id)
                 n, out = [len(x) // 4 for x in data], [z.compress(x) for x in data]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "frame"])
 

@@ -40,7 +40,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 n, sig, out = [], [], []
-                for data in tokens.encode_texts(b.column(1).slice(at, 1024).to_pylist(), enc, end_id):
+                for data in tokens.encode_texts(b.column(1).slice(at, 1024), enc, end_id):
                     ids = np.frombuffer(data, "<u4")
                     pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:]
                     n.append(len(ids))

@@ -1,34 +1,40 @@
 """Token ids with the tokenizers library, each distinct word once.
 
 The word_bpe vocabulary drops white space before it merges, and cuts words into runs of letters, single digits and runs
-of other characters, so a text's ids are those of its words in order, and a word's are those of its pieces. What is
-not in the caches is gathered from a chunk of texts and encoded as one string, which is cut again after the tokens that
-end a piece. Words outside the Latin blocks or with special tokens go to the tokenizer whole. Tests hold all this against
-encoding whole texts.
+of other characters, so a text's ids are those of its words in order, and a word's are those of its pieces. Arrow splits
+a chunk of texts and numbers its distinct words; those that are not in the caches are cut into pieces, the new pieces
+are encoded as one string, which is cut again after the tokens that end a piece, and numpy puts the texts together from
+the words' numbers. Words outside the Latin blocks or with special tokens go to the tokenizer whole. Tests hold all this
+against encoding whole texts.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import unicodedata
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: What a Python worker keeps; the rest is encoded anew in each chunk.
-CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 400_000, 400_000, 48
+CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 300_000, 300_000, 48
+#: Bytes of text that are encoded at a time, or one text; words that are put together at a time.
+CHUNK_BYTES, CHUNK_WORDS = 8 << 20, 1 << 18
 #: Pieces that are encoded as one string.
-JOINED = 4096
+JOINED = 512
 #: What the vocabulary ends a piece's last token with (a fixed value).
 SUFFIX = "</w>"
-#: The vocabulary's own pre-tokenizer pattern (a fixed value).
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: What the vocabulary's pre-tokenizer cuts off after an apostrophe (fixed values).
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+LETTER, DIGIT, OTHER, SPACE = range(4)
+#: Code points that a word of the Latin blocks can hold, also after its normalisation.
+TABLE = 0x2300
 #: İ is among the words for the tokenizer: its lower case is two characters, which would be normalised again.
-WHOLE = re.compile("[^\x21-\x7e\xa1-ͯ]|İ|<\\|")
+WHOLE = re.compile("[^\x20-\x7e\xa1-ͯ]|İ|<\\|")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,75 +43,160 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """A word's UTF-8 bytes to its ids as little-endian uint32 bytes."""
+def byte_letters() -> np.ndarray:
+    """The letter that stands for each byte in a byte-level vocabulary, as a code point; the space stays one, as it only separates."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, np.uint32)
+    out[shown] = shown
+    rest = np.setdiff1d(np.arange(256), shown)
+    out[rest] = 256 + np.arange(len(rest))
+    out[32] = 32
+    return out
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """LETTER, DIGIT, OTHER or SPACE of each code point below TABLE."""
+    out = np.array([{"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(TABLE)], np.uint8)
+    out[32] = SPACE
+    return out
+
+
+def piece_starts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces start in a string of words with a space between each two, and which of them are such a space.
+
+    A piece is a run of letters, one digit or a run of others; an apostrophe that starts one takes an ending along."""
+    kind = kinds()[points]
+    first = np.ones(len(points), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | (kind[1:] == SPACE)
+    marks = np.flatnonzero(first & (points == 39))
+    for ending in ENDINGS if len(marks) else ():
+        n = len(ending)
+        at = marks[marks + n < len(points)]
+        for j, letter in enumerate(ending, 1):
+            at = at[points[at + j] == ord(letter)]
+        first[at + 1] = False
+        after = at[at + n + 1 < len(points)] + n + 1
+        first[after] = True
+    found = np.flatnonzero(first)
+    return found, kind[found] == SPACE
+
+
+def starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+class Rows:
+    """Rows of ids, one after the other: row i is ids[at[i] : at[i + 1]]."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+        self.ids, self.at = ids, starts(lengths)
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def take(self, which: np.ndarray) -> Rows:
+        first, n = self.at[which], self.at[which + 1] - self.at[which]
+        at = starts(n)
+        return Rows(self.ids[np.arange(at[-1]) + np.repeat(first - at[:-1], n)], n)
+
+    def plus(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.ids, other.ids]), np.diff(np.concatenate([self.at, self.at[-1] + other.at[1:]])))
+
+
+def no_rows() -> Rows:
+    return Rows(np.empty(0, np.uint32), np.empty(0, np.int64))
+
+
+class Known:
+    """Keys to rows; of new ones it keeps the short, up to so many."""
+
+    def __init__(self, most: int):
+        self.number, self.rows, self.most = {}, no_rows(), most
+
+    def look_up(self, keys: list, find) -> Rows:
+        """Rows of distinct keys, in their order; find(those that are missing) gives the rest."""
+        where = np.fromiter(map(self.number.get, keys, (-1 for _ in keys)), np.int64, len(keys))
+        absent = np.flatnonzero(where < 0)
+        if not len(absent):
+            return self.rows.take(where)
+        fresh = [keys[i] for i in absent.tolist()]
+        found, n = find(fresh), len(self.rows)
+        where[absent] = n + np.arange(len(absent))
+        out = self.rows.plus(found).take(where)
+        keep = [i for i, k in enumerate(fresh) if len(k) <= CACHE_BYTES][: max(0, self.most - n)]
+        if keep:
+            self.number.update(zip([fresh[i] for i in keep], range(n, n + len(keep)), strict=True))
+            self.rows = self.rows.plus(found.take(np.array(keep)))
+        return out
+
+
+class WordIds:
+    """Ids of words (UTF-8 bytes without white space)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
-        # the same model for pieces, which are normalised and need no pattern
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), Known(CACHE_WORDS), Known(CACHE_PIECES)
+        # the same model for pieces, which are normalised, spelt in byte letters and need no pattern
         self.by_space = Tokenizer(self.tokenizer.model)
-        self.by_space.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.by_space.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = byte_letters()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(SUFFIX)]] = True
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> Rows:
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return Rows(np.concatenate(ids), np.array([len(x) for x in ids])) if ids else no_rows()
 
-    def _joined(self, pieces: list[str]) -> list[bytes]:
+    def joined(self, pieces: list[str]) -> Rows:
         """Ids of each piece. A string that does not give as many ends as pieces is encoded piece by piece."""
-        out = []
+        ids, lengths = [], []
         for at in range(0, len(pieces), JOINED):
             part = pieces[at : at + JOINED]
-            ids = np.array(self.by_space.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                raw, first = ids.tobytes(), 0
-                for last in (4 * ends).tolist():
-                    out.append(raw[first:last])
-                    first = last
+            text = " ".join(part)
+            if not text.isascii():
+                text = self.letters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            got = np.array(self.by_space.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[got]) + 1
+            if len(ends) == len(part) and ends[-1] == len(got):
+                ids.append(got)
+                lengths.append(np.diff(ends, prepend=0))
             else:
-                out += self._encoded(part)
-        return out
-
-    def learn(self, missing: list[bytes]) -> list[bytes]:
-        """Look up words that are not in the cache. Returns those that it has no room for: the caller drops them when done."""
-        strings = b" ".join(missing).decode("utf-8", "replace").split(" ") if missing else []
-        whole, cut, cut_at = [], missing, strings
-        if any(map(WHOLE.search, strings)):
-            odd = [WHOLE.search(s) is not None for s in strings]
-            whole = [(w, s) for w, s, o in zip(missing, strings, odd, strict=True) if o]
-            cut, cut_at = [w for w, o in zip(missing, odd, strict=True) if not o], [s for s, o in zip(strings, odd, strict=True) if not o]
-        out = dict(zip([w for w, _ in whole], self._encoded([s for _, s in whole]), strict=True)) if whole else {}
-        parts = [s if s.isalpha() else PIECE.findall(s) for s in unicodedata.normalize("NFC", " ".join(cut_at)).lower().split(" ")] if cut else []
-        distinct: set[str] = set()
-        for p in parts:
-            distinct.add(p) if p.__class__ is str else distinct.update(p)
-        known = self.pieces
-        fresh = [p for p in distinct if p not in known]
-        known.update(zip(fresh, self._joined(fresh), strict=True))
-        out.update(zip(cut, [known[p] if p.__class__ is str else b"".join([known[x] for x in p]) for p in parts], strict=True))
-        self.update(out)
-        _trim(known, fresh, CACHE_PIECES)
-        return _surplus(self, list(out), CACHE_WORDS)
-
-
-def _surplus(cache: dict, new: list, most: int) -> list:
-    """Which of the new keys are too long to stay in the cache, or too many."""
-    long = [k for k in new if len(k) > CACHE_BYTES]
-    over = len(cache) - len(long) - most
-    if over <= 0:
-        return long
-    gone = set(long)
-    return long + [k for k in reversed(new) if k not in gone][:over]
-
-
-def _trim(cache: dict, new: list, most: int) -> None:
-    for k in _surplus(cache, new, most):
-        del cache[k]
+                rows = self.whole(part)
+                ids.append(rows.ids)
+                lengths.append(np.diff(rows.at))
+        return Rows(np.concatenate(ids), np.concatenate(lengths))
+
+    def find(self, missing: list[bytes]) -> Rows:
+        text = b" ".join(missing).decode("utf-8", "replace")
+        odd = np.zeros(len(missing), bool)
+        if WHOLE.search(text):
+            strings = text.split(" ")
+            odd[:] = [WHOLE.search(s) is not None for s in strings]
+            text = " ".join([s for s, o in zip(strings, odd.tolist(), strict=True) if not o])
+            rows = self.whole([s for s, o in zip(strings, odd.tolist(), strict=True) if o])
+        else:
+            rows = no_rows()
+        if not odd.all():
+            rows = self.cut(text, len(missing) - len(rows)).plus(rows)
+        order = np.empty(len(missing), np.int64)
+        order[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(missing))
+        return rows.take(order)
+
+    def cut(self, text: str, n: int) -> Rows:
+        """Ids of n words with a space between each two, from those of their pieces."""
+        raw = unicodedata.normalize("NFC", text).lower()
+        points = np.frombuffer(raw.encode("utf-32-le"), np.uint32)
+        first, space = piece_starts(points)
+        size = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800)
+        at, data = starts(size)[np.append(first, len(points))], raw.encode()
+        spelt = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(at), pa.py_buffer(data))
+        coded = spelt.filter(pa.array(~space)).dictionary_encode()
+        got = self.pieces.look_up(coded.dictionary.to_pylist(), self.joined).take(coded.indices.to_numpy())
+        return Rows(got.ids, np.bincount(np.cumsum(space)[~space], np.diff(got.at), n).astype(np.int64))
 
 
 @lru_cache(2)
@@ -113,24 +204,27 @@ def encoder(path: str) -> WordIds:
     return WordIds(path)
 
 
-def encode_texts(texts: list[bytes | None], ids: WordIds, end_id: int) -> list[bytes]:
-    """For each text its ids and end_id, as little-endian uint32 bytes.
-
-    Nothing here makes reference cycles, so Python's cycle collector, which would walk all the words again and again, is
-    held meanwhile."""
-    end, out, collects = int(end_id).to_bytes(4, "little"), [], gc.isenabled()
-    gc.disable()
-    try:
-        for at in range(0, len(texts), 256):
-            part = [t.split() if t else () for t in texts[at : at + 256]]
-            missing: set[bytes] = set()
-            for ws in part:
-                missing.update(ws)
-            surplus = ids.learn([w for w in missing if w not in ids])
-            out += [b"".join(map(ids.__getitem__, ws)) + end for ws in part]
-            for w in surplus:
-                del ids[w]
-    finally:
-        if collects:
-            gc.enable()
+def chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Parts of about CHUNK_BYTES, or of one text."""
+    sizes = starts(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK_BYTES, "right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def encode_texts(texts: pa.Array | list[bytes | None], ids: WordIds, end_id: int) -> list[bytes]:
+    """For each text its ids and end_id, as little-endian uint32 bytes."""
+    end, out = int(end_id).to_bytes(4, "little"), []
+    texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
+    for part in chunks(texts):
+        split = pc.ascii_split_whitespace(part.view(pa.large_string() if pa.types.is_large_binary(part.type) else pa.string()))
+        coded = split.flatten().dictionary_encode()
+        known = ids.words.look_up(coded.dictionary.view(pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()).to_pylist(), ids.find)
+        codes = coded.indices.to_numpy()
+        bounds = starts(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))
+        at = starts(np.diff(known.at)[codes])[bounds].tolist()
+        raw = b"".join([known.take(codes[i : i + CHUNK_WORDS]).ids.tobytes() for i in range(0, len(codes), CHUNK_WORDS)])
+        out += [raw[4 * a : 4 * b] + end for a, b in zip(at, at[1:])]
     return out
