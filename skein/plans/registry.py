@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import documents, fingerprints, telemetry
+from ..operators import documents, fingerprints, scores, telemetry
 
-QUERIES = fingerprints.QUERIES | documents.QUERIES | telemetry.QUERIES
+QUERIES = fingerprints.QUERIES | scores.QUERIES | documents.QUERIES | telemetry.QUERIES
 
 
 def queries() -> dict:
