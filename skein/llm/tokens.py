@@ -33,8 +33,9 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 LETTER, DIGIT, OTHER, SPACE = range(4)
 #: Code points that a word of the Latin blocks can hold, also after its normalisation.
 TABLE = 0x2300
-#: İ is among the words for the tokenizer: its lower case is two characters, which would be normalised again.
-WHOLE = re.compile("[^\x20-\x7e\xa1-ͯ]|İ|<\\|")
+#: İ, Ⱥ and Ⱦ are among the words for the tokenizer: the lower case of the first is two characters, which would be
+#: normalised again, and that of the others is beyond TABLE.
+WHOLE = re.compile("[^\x20-\x7e\xa1-ͯ]|[İȺȾ]|<\\|")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -70,6 +70,14 @@ def test_ids_of_words_are_ids_of_texts(monkeypatch):
         assert np.frombuffer(tokens.encode_texts([text.encode()], enc, 1)[0], "<u4").tolist() == [*whole, 1], repr(text)
 
 
+def test_ids_of_all_letters_of_the_latin_blocks():
+    enc = tokens.WordIds(tokens.vocabulary_path())
+    letters = [chr(c) for c in range(0xA1, 0x370)]
+    for text in [*(f"{x} a{x}b {x}1'{x}" for x in letters), *(f"{b}{x} A{b}{x}b" for b in "AEOTaeotÂâ=<" for x in letters if "\u0300" <= x), " ".join(letters)]:
+        whole = enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.encode_texts([text.encode()], enc, 1)[0], "<u4").tolist() == [*whole, 1], repr(text)
+
+
 # --- 1 ---
 
 
