@@ -1,14 +1,14 @@
 """WARC: archives of request, response (or revisit) and metadata records, and their assembly into captures.
 
 write_archives() turns pages into WARC/1.1 files, one gzip member for each record. Of pages with equal payloads of at
-least revisit_bytes, that with the smallest page_id is stored as a response; the others are revisit records that carry its
-digest and refer to it. read_records() parses archives; captures() joins the records of a transaction through
+least revisit_bytes, those with the smallest page_id are stored as responses; the others are revisit records that carry
+the digest and refer to the first. read_records() parses archives; captures() joins the records of a transaction through
 WARC-Concurrent-To and emits one nested row per capture, resolving a revisit's payload length by the record it
 refers to.
 
 Results: a null html is an empty payload, a null url is recorded as `urn:page:<page_id>`; rows with a null page_id are
-not captures and are left out; if a page_id repeats, each row is a capture of its own (the first response of a
-payload is then the row that hashes lowest); an empty table gives no archives; other columns are ignored.
+not captures and are left out; if a page_id or a whole row repeats, each row is a capture of its own (equal rows are
+numbered; the first response of a payload is that which hashes lowest); an empty table gives no archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, storage
@@ -29,14 +29,22 @@ FILE_BYTES = 64 << 20
 def record_types(pages: DataFrame, revisit_bytes: int = 100) -> DataFrame:
     """page_id, uid, url, payload, digest, first_uid: the capture whose payload this one repeats, else null.
 
-    Only digests that occur more than once are joined back; the join carries no payload but of those rows' partition."""
+    Only digests that occur more than once are joined back. Rows that are equal in page_id, url and payload get a number
+    in their uid; just the rows of digests that have such are dealt anew for it."""
     rows = pages.where(F.col("page_id").isNotNull()).select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))).alias("url"), F.coalesce(common.utf8("html"), F.lit(b"")).alias("payload")
     )
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("uid", F.concat_ws("-", F.col("page_id").cast("string"), F.substring(F.sha2(F.concat_ws("|", "url", "digest"), 256), 1, 16)))
-    firsts = rows.where(F.length("payload") >= revisit_bytes).groupBy("digest").agg(F.min(F.struct("page_id", "uid")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.uid").alias("first_uid"), F.col("first.page_id").alias("first_page"))
+    copies = rows.groupBy("digest", "page_id", "uid").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("payload")).alias("size"))
+    again = common.staged(copies.groupBy("digest").agg(F.min(F.struct("page_id", "uid")).alias("first"), F.sum("copies").alias("n"), F.max("copies").alias("copies"), F.max("size").alias("size")).where("n > 1"), "warc-digests")
+    equal = again.where("copies > 1").select("digest")
+    if not equal.isEmpty():
+        number = F.row_number().over(Window.partitionBy("uid").orderBy("digest"))  # rows of one uid are equal in all columns
+        numbered = rows.join(equal, "digest", "left_semi").withColumn("number", number).withColumn("uid", F.when(F.col("number") > 1, F.concat_ws("-", "uid", "number")).otherwise(F.col("uid"))).drop("number")
+        rows = rows.join(equal, "digest", "left_anti").select(*numbered.columns).unionByName(numbered)
+    firsts = again.where(F.col("size") >= revisit_bytes).select("digest", F.col("first.uid").alias("first_uid"), F.col("first.page_id").alias("first_page"))
     joined = rows.join(firsts, "digest", "left")
-    return joined.withColumn("first_uid", F.when(F.col("first_uid") != F.col("uid"), F.col("first_uid")))
+    return joined.withColumn("first_uid", F.when(F.col("first_page") < F.col("page_id"), F.col("first_uid")))
 
 
 def uuid_of(text: str, kind: str) -> str:

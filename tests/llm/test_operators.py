@@ -108,6 +108,16 @@ def test_warc_repeated_pages(spark):
     assert {(r.page_id, r.payload_bytes) for r in got} == {(1, 200)}
 
 
+def test_warc_equal_rows_are_captures_of_their_own(spark, tmp_path):
+    rows = [(2, "u", "x" * 200)] * 3 + [(2, "v", "x" * 200), (3, "u", "x" * 200), (3, "u", "x" * 200)] + [(4, "u", "short")] * 2 + [(5, None, None)] * 2 + [(None, "u", "short")] * 2
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((tuple(r) for r in op1_warc.op1_warc(spark, str(tmp_path)).collect()), key=str)
+    want = [(p, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if p == 3 else "response", 2 if p == 3 else None) for p, _, h in rows if p is not None]
+    assert got == sorted(want, key=str)
+    records = op1_warc.read_records(op1_warc.write_archives(spark.read.parquet(str(tmp_path / "pages.parquet")), common.new_path(spark, "warc"))).collect()
+    assert len({r.record_id for r in records}) == len(records) == 3 * len(want)
+
+
 # --- 2 ---
 
 
