@@ -301,6 +301,15 @@ def test_rules_against_brute_force(spark, docs, rows, none):
     assert all(r.kept != r.base_failed for r in op6_rules.judge(docs, labels.limit(0)).collect())
 
 
+def test_rules_catch_bad_rows(spark):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = op6_rules.judge(table, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").toPandas()
+    bad, good = got[got.quality == 0], got[got.quality == 1]
+    print("held out:", len(bad), "bad, caught", 1 - bad.kept.mean(), len(good), "good, lost", 1 - good.kept.mean())
+    assert len(bad) > 100 and 1 - bad.kept.mean() > 0.75 and 1 - good.kept.mean() < 0.08
+    assert op6_rules.cut(np.array([0.1, 0.2, 0.6]), np.array([0.5, 0.7]), 0.0) == 0.2 and op6_rules.cut(np.array([0.3]), np.array([0.1]), 0.0) == 1.0
+
+
 def test_forest_scores_against_walking_its_trees():
     x = np.random.default_rng(6).normal(size=(400, 3))
     x[-1] = 9
