@@ -2,8 +2,9 @@
 
 Documents are tokenised, dealt to shards of bounded size by a lexical signature (a min-hash of neighbouring id pairs, ties
 by doc_id), and packed shard by shard: the next unused document seeds a window, an inverted index over the shard's
-token ids scores the others by BM25, and unused neighbours fill the window best first. What does not fit is cut and seeds
-the next window. Document frequencies and the mean length are those of the whole corpus; they are at most one number
+token ids scores the others by BM25 over all ids of the seed, and unused neighbours fill the window best first. What does not fit is cut and seeds
+the next window. A seed meets the documents of its own shard alone; the README gives the share of its neighbours in the
+whole corpus that it finds there. Document frequencies and the mean length are those of the whole corpus; they are at most one number
 for each id of the vocabulary. Full windows of a long document stand alone. A shard's last, short window is
 cut into sequences whose lengths are powers of two, so nothing is padded.
 
@@ -25,8 +26,8 @@ from . import common, tokens
 
 WINDOW = 4096
 K1, B = 1.2, 0.75
-#: A seed's ids with the highest weights that are looked up in the index.
-QUERY_IDS = 48
+#: The index lets go of placed documents whenever they are this share of it.
+DROP = 0.125
 SHARD_TOKENS = 2_000_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -83,22 +84,25 @@ class Index:
         length = np.array([len(d) for d in docs])
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_length, 1e-9)))).astype(np.float32)
         self.n, self.bounds = len(docs), np.concatenate([[0], np.cumsum(sizes)])
-        self.doc_terms, self.doc_weights = term, weight
+        self.doc_terms, self.live = term, len(docs)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order].astype(np.int32), weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the seed's heaviest ids."""
-        mine = slice(self.bounds[seed], self.bounds[seed + 1])
-        terms = self.doc_terms[mine]
-        if len(terms) > QUERY_IDS:
-            terms = terms[np.argpartition(-self.doc_weights[mine], QUERY_IDS)[:QUERY_IDS]]
-        out = np.zeros(self.n, np.float32)
-        for t in np.sort(terms):
-            at = slice(self.first[t], self.first[t + 1])
-            out[self.doc[at]] += self.weight[at]
-        return out
+        """BM25 of every document in the index for all ids of the seed."""
+        terms = self.doc_terms[self.bounds[seed] : self.bounds[seed + 1]]
+        first, n = self.first[terms], self.first[terms + 1] - self.first[terms]
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        return np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
+
+    def drop(self, used: np.ndarray) -> None:
+        """Let go of used documents once they are DROP of the index; they score 0 from then on, as seeds they still count."""
+        left = len(used) - int(used.sum())
+        if left <= (1 - DROP) * self.live:
+            keep = ~used[self.doc]
+            self.first = np.concatenate([[0], np.cumsum(keep)])[self.first]
+            self.doc, self.weight, self.live = self.doc[keep], self.weight[keep], left
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -132,6 +136,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
             if at == window:
                 break
             if ranked is None:
+                index.drop(used)
                 s = index.scores(seed)
                 ranked = np.flatnonzero((s > 0) & ~used)
                 ranked = ranked[np.argsort(-s[ranked], kind="stable")]

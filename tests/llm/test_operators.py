@@ -249,6 +249,26 @@ def test_packing_prefers_lexical_neighbours():
     assert all(len(t) == 1 for t in topics_of.values())
 
 
+def test_packing_scores_all_ids_of_a_seed():
+    rng = np.random.default_rng(12)
+    docs = [np.append(rng.integers(0, 900, rng.integers(1, 400)), 2).astype(np.uint16) for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1000)
+    idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+
+    def bm25(seed, d):
+        tf = np.bincount(d, minlength=1000)[np.unique(docs[seed])]
+        return (idf[np.unique(docs[seed])] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))).sum()
+
+    index, used = op5_packing.Index(docs, idf, mean), np.zeros(60, bool)
+    for gone in ([], [7], range(20), range(50), range(60)):
+        used[list(gone)] = True
+        index.drop(used)
+        for seed in (0, 25, 59):
+            got = index.scores(seed)
+            assert np.allclose(got[~used], [bm25(seed, d) for d, u in zip(docs, used, strict=True) if not u], rtol=1e-5)
+    assert index.live == len(index.doc) == 0
+
+
 def test_token_store_round_trip(spark, docs, rows, none):
     enc = tokens.encoder(tokens.vocabulary_path())
     manifest = op10_token_store.write_store(docs, common.new_path(spark, "store"), tokens.vocabulary_path())
