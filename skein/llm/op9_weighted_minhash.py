@@ -5,13 +5,15 @@
 3. Each distinct text gets weights tf * idf and BANDS * ROWS consistent weighted samples (Ioffe, 2010); a band is a hash
    of ROWS samples.
 4. Texts that share a band form provisional components. The members' shingles meet in blocks of bounded size, and within a
-   block every two members of a band that are not yet connected are compared; weighted Jaccard of `threshold` links them.
+   block every two members of a band that are not yet connected are compared; weighted Jaccard of `threshold` links them,
+   and so does plain Jaccard of their sets of shingles.
    A component that is larger than a block is compared in more rounds: one delegate of each cluster in a band, then tiles
    of two blocks for the bands that still span clusters. No pair of a band is left out and none is emitted.
 5. Connected components of the links are the classes; a class is named by its smallest doc_id.
 
-idf is 1 + ln(N / df) / ln(N), from 1 to 2: rare shingles count up to twice, and a group's own copies, which lower the df of
-what they share, cannot push its members below the threshold. df is taken at an eighth of an octave.
+idf is 1 + ln(N / df) / ln(N), from 1 to 2: rare shingles count up to twice. A group's own copies raise the df of what they
+share and so can push its members below the threshold of weighted Jaccard, which is why plain Jaccard links as well. df is
+taken at an eighth of an octave.
 
 Results: texts without words are each a class of their own, as are null doc_ids (with a null class); texts of fewer words
 than a shingle are one shingle; repeated doc_ids are one document, in the class of its smallest text; an empty table gives an
@@ -246,13 +248,15 @@ class Clusters:
         if pair in self.failed:
             return False
         (ka, wa, ta), (kb, wb, tb) = self.of(i), self.of(j)
-        good = min(ta, tb) >= self.threshold * max(ta, tb) * (1 - 1e-9)
+        least, na, nb = self.threshold * (1 - 1e-9), len(ka), len(kb)
+        good = min(ta, tb) >= least * max(ta, tb) or min(na, nb) >= least * max(na, nb)
         if good:
             at = np.searchsorted(kb, ka)
             at[at == len(kb)] = 0
             same = kb[at] == ka
             both = float(np.minimum(wa[same], wb[at[same]]).sum())
-            good = both >= self.threshold * (ta + tb - both) * (1 - 1e-9)
+            n = int(np.count_nonzero(same))
+            good = both >= least * (ta + tb - both) or n >= least * (na + nb - n)
         if not good:
             self.failed.add(pair)
         return good

@@ -437,6 +437,19 @@ def test_near_duplicates_against_all_pairs(docs, rows, size):
     assert sorted({r.doc_id for r in kept.collect() if r.doc_id is not None}) == sorted(set(want.values()))
 
 
+def test_near_duplicates_in_a_large_group():
+    import pickle
+
+    def text(own, n_own):
+        keys = np.concatenate([np.arange(820), np.arange(n_own) + own]).astype(np.uint64)
+        code = np.concatenate([np.full(820, np.rint(8 * np.log2(10_000))), np.zeros(n_own)]).astype(np.uint8)
+        return pickle.dumps((keys.tobytes(), np.ones(len(keys), np.uint32).tobytes(), code.tobytes()), 5)
+
+    # plain Jaccard 820 / 1000, 820 / 1000 and 820 / 1040; weighted below 0.8
+    c = op9_weighted_minhash.Clusters([(1, text(10_000, 90), 1), (2, text(20_000, 90), 2), (3, text(30_000, 130), 3)], 1_000_000, 0.8)
+    assert c.similar(0, 1) and not c.similar(0, 2)
+
+
 def test_near_duplicates_of_nothing(none):
     assert op9_weighted_minhash.near_duplicates(none).count() == 0
 
