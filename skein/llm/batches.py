@@ -70,14 +70,14 @@ def request(batch: int, keys: np.ndarray, extra: np.ndarray, buckets: int, bits:
     })
 
 
-def answered(sent: DataFrame, answer: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], kind) -> DataFrame:
-    """REPLY rows: answer(keys of each batch, extras of each batch) gives a value for each key of each batch, as a numpy array."""
+def answered(sent: DataFrame, answer: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], kind, buckets: int) -> DataFrame:
+    """REPLY rows, of as many tasks as there are buckets: answer(keys of each batch, extras of each batch) gives a value for each key of each batch, as a numpy array."""
 
     def run(t: pa.Table) -> pa.Table:
         got = answer([common.unpack_sorted(x.as_py()) for x in t["keys"]], [common.unpack(x.as_py(), kind) for x in t["extra"]])
         return pa.table({"batch": t["batch"], "bucket": t["bucket"], "answer": pa.array([common.pack(a) for a in got], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(run, REPLY)
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(common.tidy(run), REPLY)
 
 
 def answers(rows: pa.Table, kind) -> np.ndarray:

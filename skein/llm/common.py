@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words whose hash or ids a Python worker keeps; the rest are computed anew each time.
@@ -59,11 +64,75 @@ def column_named(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def hash_share(df: DataFrame, key: Column, most: int, n: int) -> DataFrame:
+    """Of df's n rows those whose 64-bit hash is in the lowest share, which holds `most` of them with a margin; all, if they are fewer. Who takes the first `most` by the hash gets the same rows from it, and no task sends more than its share to the driver."""
+    share = (1.1 * most + 200) / max(1, n)
+    return df if share >= 1 else df.where(key <= int(share * 2.0**64) - 2**63)
+
+
 def utf8(name: str):
     """The column's UTF-8 bytes; Python then needs no decoding."""
     return F.col(f"`{name}`").cast("string").cast("binary")
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold about `most` bytes in the column, or one row."""
+    sizes = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+# --- memory of a Python worker ---------------------------------------------------------------------------
+
+
+_KEPT: dict = {}
+
+
+def kept(name, make: Callable):
+    """What make() made for `name` in this Python worker, which lives on from batch to batch and from stage to stage. A worker keeps one such thing: that of another name goes first."""
+    if _KEPT.get("name") != name:
+        _KEPT.clear()
+        release()
+        _KEPT.update(name=name, value=make())
+    return _KEPT["value"]
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers that wait would keep it."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_libc(), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except (OSError, TypeError):
+        return None
+
+
+def tidy(run: Callable) -> Callable:
+    """run, for one group or two cogrouped ones of bounded size, and release() after it. (Spark counts the arguments.)"""
+
+    def one(t):
+        try:
+            return run(t)
+        finally:
+            release()
+
+    def two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
 # --- words -----------------------------------------------------------------------------------------------
 
 
@@ -85,14 +154,9 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
-_HASHES: list[WordHash] = []
-
-
 def word_hash() -> WordHash:
-    """This worker's WordHash, which lives as long as the worker."""
-    if not _HASHES:
-        _HASHES.append(WordHash())
-    return _HASHES[0]
+    """This worker's WordHash."""
+    return kept("words", WordHash)
 
 
 def _odd(n: int, seed: int) -> np.ndarray:

@@ -154,7 +154,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def ask_blocks(t: pa.Table) -> pa.Table:
         return batches.request(t["batch"][0].as_py(), *load(t["blob"])[1].block_request(), n_buckets)
 
-    hits = batches.answered(held.groupBy("batch").applyInArrow(ask_blocks, batches.SENT), block_answer, np.uint8)
+    hits = batches.answered(held.groupBy("batch").applyInArrow(common.tidy(ask_blocks), batches.SENT), block_answer, np.uint8, n_buckets)
     hits = common.staged(hits.withColumn("round", F.lit(1)), "substring-hits", "none")
 
     def windows(t: pa.Table, reply: pa.Table):
@@ -171,7 +171,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         extra["doc"], extra["check"] = w.ids[w.doc[s[runs]]], b[runs]
         return batches.request(left["batch"][0].as_py(), a[runs], extra, n_buckets, 64)
 
-    smaller = batches.answered(held.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(ask_windows, batches.SENT), window_answer, PAIR)
+    smaller = batches.answered(held.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(common.tidy(ask_windows), batches.SENT), window_answer, PAIR, n_buckets)
     replies = hits.unionByName(smaller.withColumn("round", F.lit(2)))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -201,7 +201,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shape = to_arrow_schema(out_schema)
-    out = common.staged(held.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(cut, out_schema), "substring-cut")
+    out = common.staged(held.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(common.tidy(cut), out_schema), "substring-cut")
     held.unpersist()
     return out
 

@@ -4,11 +4,12 @@
 2. Document frequencies of all 5-word shingles, over all documents (copies count), by an exchange of packed hashes.
 3. Each distinct text gets weights tf * idf and BANDS * ROWS consistent weighted samples (Ioffe, 2010); a band is a hash
    of ROWS samples.
-4. Texts that share a band form provisional components. The members' shingles meet in blocks of bounded size, and within a
-   block every two members of a band that are not yet connected are compared; weighted Jaccard of `threshold` links them,
-   and so does plain Jaccard of their sets of shingles.
-   A component that is larger than a block is compared in more rounds: one delegate of each cluster in a band, then tiles
-   of two blocks for the bands that still span clusters. No pair of a band is left out and none is emitted.
+4. Texts that share a band form provisional components. The members' shingles meet in blocks of bounded bytes and rows, and
+   within a block every two members of a band that are not yet connected are compared; weighted Jaccard of `threshold`
+   links them, and so does plain Jaccard of their sets of shingles.
+   A component that is larger than a block is compared in more rounds: one delegate of each cluster in a band, then, for the
+   bands that still span clusters, tiles of two blocks; the largest cluster of a band meets the others and not itself.
+   Vectors are fetched for what is compared alone. No pair of a band is left out and none is emitted.
 5. Connected components of the links are the classes; a class is named by its smallest doc_id.
 
 idf is 1 + ln(N / df) / ln(N), from 1 to 2: rare shingles count up to twice. A group's own copies raise the df of what they
@@ -16,8 +17,8 @@ share and so can push its members below the threshold of weighted Jaccard, which
 taken at an eighth of an octave.
 
 Results: texts without words are each a class of their own, as are null doc_ids (with a null class); texts of fewer words
-than a shingle are one shingle; repeated doc_ids are one document, in the class of its smallest text; an empty table gives an
-empty table; other columns are ignored (near_dedup keeps them).
+than a shingle are one shingle; repeated doc_ids are one document, in the class of its smallest text; a very long text is
+compared whole, as one row; an empty table gives an empty table; other columns are ignored (near_dedup keeps them).
 """
 
 from __future__ import annotations
@@ -37,7 +38,10 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 9, 4
-BLOCK_BYTES = 24 << 20
+#: Members whose shingles a task compares at a time.
+BLOCK_BYTES, BLOCK_ROWS = 24 << 20, 128
+#: Rounds of delegates, at most; what they leave goes to the tiles.
+ROUNDS = 3
 SHIFT = np.uint64(64 - batches.KEY_BITS)
 #: One odd constant for each sample, and the finaliser's multiplier.
 _A = common._odd(BANDS * ROWS, 101)
@@ -280,28 +284,33 @@ class Clusters:
                 for root in [r for r in clusters if self.root(r) != r]:
                     clusters.setdefault(self.root(root), []).extend(clusters.pop(root))
 
-    def result(self) -> pa.Table:
-        """Links of each text to the smallest id of its cluster."""
+    def result(self, names: list[int] | None = None) -> pa.Table:
+        """Links of each text, by its id or the name given, to the smallest of its cluster."""
+        names = names or [r[0] for r in self.rows]
         least: dict[int, int] = {}
-        for i, r in enumerate(self.rows):
+        for i, name in enumerate(names):
             k = self.root(i)
-            least[k] = min(least.get(k, r[0]), r[0])
-        pairs = [(r[0], least[self.root(i)]) for i, r in enumerate(self.rows)]
+            least[k] = min(least.get(k, name), name)
+        pairs = [(name, least[self.root(i)]) for i, name in enumerate(names)]
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
 LINKS = "a long, b long"
 
 
-def links(members: DataFrame, n_docs: int, threshold: float, block_bytes: int) -> DataFrame:
-    """members: doc, bands, component, vector. Returns links (a, b) that connect the texts of each class."""
-    total = members.groupBy("component").agg(F.sum(F.length("vector")).alias("bytes"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks")
-    members = common.staged(members.join(total.select("component", blocks), "component").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "near-members", "none")
+def links(members: DataFrame, vectors: DataFrame, n_docs: int, threshold: float, block_bytes: int, block_rows: int) -> DataFrame:
+    """members: doc, bands, component; vectors: doc, vector, both staged. Returns links (a, b) that connect the texts of each class."""
+    sized = members.join(vectors.select("doc", F.length("vector").alias("bytes")), "doc")
+    total = sized.groupBy("component").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    blocks = F.greatest(F.ceil(F.col("bytes") / block_bytes), F.ceil(F.col("n") / block_rows)).cast("int").alias("blocks")
+    members = common.staged(members.join(total.select("component", blocks), "component").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "near-members")
+
+    def clusters(t: pa.Table) -> Clusters:
+        return Clusters(list(zip(t["doc"].to_pylist(), t["vector"].to_pylist(), t["cluster"].to_pylist(), strict=True)), n_docs, threshold)
 
     def within(t: pa.Table) -> pa.Table:
         ids = t["doc"].to_pylist()
-        c = Clusters(list(zip(ids, t["vector"].to_pylist(), ids, strict=True)), n_docs, threshold)
+        c = clusters(t)
         by: dict[int, list[int]] = {}
         for i, keys in sorted(enumerate(t["bands"].to_pylist()), key=lambda x: ids[x[0]]):
             for k in keys:
@@ -311,54 +320,55 @@ def links(members: DataFrame, n_docs: int, threshold: float, block_bytes: int) -
                 c.compare(group)
         return c.result()
 
-    out = common.staged(members.groupBy("component", "block").applyInArrow(within, LINKS), "near-links")
-    large = members.where("blocks > 1")
-    if not large.limit(1).count():
-        return out
+    # each text is in one block: its link is its cluster so far
+    out = common.staged(members.join(vectors, "doc").withColumn("cluster", F.col("doc")).groupBy("component", "block").applyInArrow(within, LINKS), "near-links")
 
-    def spanning(linked: DataFrame) -> DataFrame:
-        """Rows (band, doc, cluster, vector) of the large components' bands that span clusters."""
-        label = components(linked)
-        rows = large.select("doc", "vector", F.explode("bands").alias("band")).join(label, F.col("doc") == F.col("node"), "left")
-        rows = rows.select("band", "doc", "vector", F.coalesce("component", "doc").alias("cluster"))
+    def spanning(rows: DataFrame) -> DataFrame:
+        """Of rows (band, doc, cluster) those of bands that span clusters."""
         wide = rows.groupBy("band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("band")
-        return rows.join(wide, "band", "left_semi")
+        return common.staged(rows.join(wide, "band", "left_semi"), "near-left")
 
     def delegates(t: pa.Table) -> pa.Table:
-        c = Clusters(list(zip(t["doc"].to_pylist(), t["vector"].to_pylist(), t["cluster"].to_pylist(), strict=True)), n_docs, threshold)
+        c = clusters(t)
         c.compare(list(range(t.num_rows)))
-        return c.result()
-
-    each = spanning(out).groupBy("band", "cluster").agg(F.min_by(F.struct("doc", "vector"), "doc").alias("d")).select("band", "cluster", "d.doc", "d.vector")
-    # a band with very many clusters is dealt out; what its parts miss, the tiles below find
-    each = each.withColumn("part", F.floor(F.row_number().over(_window("band").orderBy("cluster")) / 4096))
-    out = common.staged(out.unionByName(each.groupBy("band", "part").applyInArrow(delegates, LINKS)), "near-links")
-
-    left = common.staged(spanning(out), "near-left", "none")
-    tile_rows = max(2, block_bytes // 8192)
-    size = left.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("n"))
-    left = left.join(size, "band").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("n")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        return c.result(t["cluster"].to_pylist())
+
+    large = members.where("blocks > 1").select("doc", F.explode("bands").alias("band"))
+    left = spanning(large.join(out.select(F.col("a").alias("doc"), F.col("b").alias("cluster")), "doc").select("band", "doc", "cluster"))
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            return out
+        # a band with very many clusters is dealt out; its parts meet in the next round, or in the tiles
+        each = left.groupBy("band", "cluster").agg(F.min("doc").alias("doc"))
+        parts = each.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+        each = common.staged(each.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("cluster"), F.col("parts")).cast("int")), "near-delegates")
+        merged = common.staged(each.join(vectors, "doc").groupBy("band", "part").applyInArrow(delegates, LINKS), "near-links")
+        out = out.unionByName(merged)
+        left = spanning(left.join(components(merged), F.col("cluster") == F.col("node"), "left").select("band", "doc", F.coalesce("component", "cluster").alias("cluster")))
+        if each.where("parts > 1").isEmpty():
+            break
+
+    # of a band's clusters the largest is dealt to `wide` blocks, behind the `rest` blocks of all others; it has links within
+    held = left.groupBy("band", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    held = held.groupBy("band").agg(F.max(F.struct("n", "cluster")).alias("top"), F.sum("n").alias("n"))
+    size = held.select("band", F.col("top.cluster").alias("top"), F.ceil(F.col("top.n") / block_rows).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("top.n")) / block_rows).cast("int").alias("rest"))
+    own = F.when(F.col("cluster") == F.col("top"), F.col("rest") + F.pmod(F.xxhash64("doc"), F.col("wide"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("rest"))).cast("int")
+    meets = F.when(F.col("own") >= F.col("rest"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("wide") - 1))
+    tiles = left.join(size, "band").withColumn("own", own).withColumn("other", F.explode(meets)).select("band", "doc", "cluster", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def tile(t: pa.Table) -> pa.Table:
-        c = Clusters(list(zip(t["doc"].to_pylist(), t["vector"].to_pylist(), t["cluster"].to_pylist(), strict=True)), n_docs, threshold)
+        c = clusters(t)
         own, i, j = t["own"].to_pylist(), t["i"][0].as_py(), t["j"][0].as_py()
         c.compare(list(range(len(own)))) if i == j else c.compare([x for x, o in enumerate(own) if o == i], [x for x, o in enumerate(own) if o == j])
         return c.result()
 
-    return out.unionByName(left.groupBy("band", "i", "j").applyInArrow(tile, LINKS))
-
-
-def _window(*keys):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
+    return out.unionByName(tiles.join(vectors, "doc").groupBy("band", "i", "j").applyInArrow(tile, LINKS))
 
 
 # --- the operator --------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, batch_bytes: int = batches.BATCH_BYTES, bucket_hashes: int = batches.BUCKET_HASHES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, batch_bytes: int = batches.BATCH_BYTES, bucket_hashes: int = batches.BUCKET_HASHES, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id and class_id of every document."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), common.utf8(text).alias("text"))
     real = rows.where("doc_id is not null")
@@ -370,45 +380,44 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def ask(t: pa.Table) -> pa.Table:
         return batches.request(t["batch"][0].as_py(), *frequency_request(Texts(t["blob"])), n_buckets)
 
-    codes = common.staged(batches.answered(held.groupBy("batch").applyInArrow(ask, batches.SENT), frequency_answer, np.uint32).withColumn("doc", F.lit(None).cast("long")), "near-df", "none")
-
-    def known(t: Texts, reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        keys, _ = frequency_request(t)
-        code = batches.answers(reply.filter(pa.compute.is_null(reply["doc"])), np.uint8)
-        return keys[code > 0], code[code > 0]
+    codes = common.staged(batches.answered(held.groupBy("batch").applyInArrow(common.tidy(ask), batches.SENT), frequency_answer, np.uint32, n_buckets), "near-df", "none")
 
     def sketch(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs, out = [], []
+        docs, keys_of, codes_of = [], [], []
         if left.num_rows:
             t = Texts(left["blob"])
-            keys, code = known(t, right)
+            keys, _ = frequency_request(t)
+            code = batches.answers(right, np.uint8)
+            keys, code = keys[code > 0], code[code > 0]
+            z = zstandard.ZstdCompressor(level=1)
             for d, (s, tf) in zip(t.id.tolist(), t.shingles(), strict=True):
+                mine = df_codes(s, keys, code)
                 docs.append(d)
-                out.append(bands(samples(s, np.log(tf * idf_of(df_codes(s, keys, code), n_docs)))).tolist())
-        return pa.table({"doc": pa.array(docs, pa.int64()), "batch": pa.array([left["batch"][0].as_py()] * len(docs) if docs else [], pa.int32()), "bands": pa.array(out, pa.list_(pa.int64()))})
+                keys_of.append(bands(samples(s, np.log(tf * idf_of(mine, n_docs)))).tolist())
+                codes_of.append(z.compress(mine.tobytes()))
+        return pa.table({"doc": pa.array(docs, pa.int64()), "batch": pa.array([left["batch"][0].as_py()] * len(docs) if docs else [], pa.int32()), "bands": pa.array(keys_of, pa.list_(pa.int64())), "codes": pa.array(codes_of, pa.binary())})
 
-    sketched = common.staged(held.groupBy("batch").cogroup(codes.groupBy("batch")).applyInArrow(sketch, "doc long, batch int, bands array<long>"), "near-bands")
+    sketched = common.staged(held.groupBy("batch").cogroup(codes.groupBy("batch")).applyInArrow(common.tidy(sketch), "doc long, batch int, bands array<long>, codes binary"), "near-bands")
     by_band = sketched.select("doc", F.explode("bands").alias("band"))
     heads = by_band.groupBy("band").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
     provisional = components(by_band.join(heads, "band").select(F.col("doc").alias("a"), F.col("head").alias("b")))
-    chosen = common.staged(sketched.join(provisional, F.col("doc") == F.col("node")).select("doc", "batch", "bands", "component"), "near-chosen")
+    chosen = common.staged(sketched.join(provisional, F.col("doc") == F.col("node")).select("doc", "batch", "bands", "component", "codes"), "near-chosen")
 
-    def vectors(left: pa.Table, right: pa.Table) -> pa.Table:
+    def vector_rows(left: pa.Table, right: pa.Table) -> pa.Table:
         docs, out = [], []
-        wanted = set(right["doc"].drop_null().to_pylist())
+        wanted = dict(zip(right["doc"].to_pylist(), right["codes"].to_pylist(), strict=True))
         if left.num_rows and wanted:
             t = Texts(left["blob"])
-            keys, code = known(t, right)
-            for d, (s, tf) in zip(t.id.tolist(), t.shingles(), strict=True):
+            z = zstandard.ZstdDecompressor()
+            for d, text in zip(t.id.tolist(), t.text, strict=True):
                 if d in wanted:
+                    s, tf = shingles(common.word_hash().array(text.split(b" ")))
                     docs.append(d)
-                    out.append(pickle.dumps((s.tobytes(), tf.astype(np.uint32).tobytes(), df_codes(s, keys, code).tobytes()), 5))
+                    out.append(pickle.dumps((s.tobytes(), tf.astype(np.uint32).tobytes(), z.decompress(wanted[d])), 5))
         return pa.table({"doc": pa.array(docs, pa.int64()), "vector": pa.array(out, pa.binary())})
 
-    asked = codes.unionByName(chosen.select("batch", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("answer"), "doc"))
-    vector = common.staged(held.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(vectors, "doc long, vector binary"), "near-vectors", "none")
-    members = chosen.select("doc", "bands", "component").join(vector, "doc")
-    classes = components(links(members, n_docs, threshold, block_bytes))
+    vectors = common.staged(held.groupBy("batch").cogroup(chosen.select("batch", "doc", "codes").groupBy("batch")).applyInArrow(common.tidy(vector_rows), "doc long, vector binary"), "near-vectors", "none")
+    classes = components(links(chosen.select("doc", "bands", "component"), vectors, n_docs, threshold, block_bytes, block_rows))
     held.unpersist()
 
     # digest to class, then document to class
