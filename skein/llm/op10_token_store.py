@@ -9,8 +9,9 @@ Shard file, little-endian:
   footer: index offset uint64, number of documents uint64, magic
 
 One document costs one read of the index and one of its frame. Results: a null text is empty and has the end id
-alone; a null doc_id is kept and comes first; repeated doc_ids each keep their own frame; an empty table gives an
-empty store; other columns of the input are ignored.
+alone; a null doc_id is kept and comes first; repeated doc_ids each keep their own frame, in the order of the frames'
+CRC-32; a very long text is one frame, encoded whole; an empty table gives an empty store; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -47,16 +48,16 @@ def dictionary_of(raw: bytes):
 
 
 def sample_ids(docs: DataFrame, path: str, end_id: int, most: int, most_ids: int, n_docs: int) -> list[bytes]:
-    """Ids of about `most` documents, picked by the hash of doc_id over the whole table; at most most_ids of each. Only the dictionary is trained on them."""
+    """Ids of about `most` documents, picked by the hash of doc_id (of the text without one) over the whole table; at most most_ids of each. Only the dictionary is trained on them."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x[: 4 * most_ids] for x in tokens.encode_texts(b.column(0), enc, end_id)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[: 4 * most_ids] for x in tokens.encode_texts(b.column(1), enc, end_id)], pa.binary())], ["h", "ids"])
 
-    share = min(1.0, 1.2 * most / max(1, n_docs))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    return [r.ids for r in picked.mapInArrow(take, "ids binary").limit(most).collect()]
+    h = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+    picked = common.hash_share(docs, h, most, n_docs).select(h.alias("h"), "text")
+    return [bytes(r.ids) for r in picked.mapInArrow(take, "h long, ids binary").orderBy("h", "ids").limit(most).collect()]
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, dictionary_docs: int = 2000, dictionary_ids: int = 2048, shard_bytes: int = 64 << 20) -> DataFrame:
@@ -76,10 +77,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, d
         enc = tokens.encoder(tokenizer)
         z = zstandard.ZstdCompressor(level=3, dict_data=dictionary_of(shared.value), write_checksum=False, write_content_size=True)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                ids, data = b.column(0).slice(at, 512), tokens.encode_texts(b.column(1).slice(at, 512), enc, end_id)
-                n, out = [len(x) // 4 for x in data], [z.compress(x) for x in data]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "frame"])
+            at = 0
+            for rows in tokens.encode_rows(b.column(1), enc, end_id):
+                data, bounds = memoryview(rows.ids.astype("<u4", copy=False)).cast("B"), (4 * rows.at).tolist()
+                out = [z.compress(data[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(rows)), pa.array(np.diff(rows.at)), pa.array(out, pa.binary())], ["doc_id", "n", "frame"])
+                at += len(rows)
 
     encoded = common.staged(docs.mapInArrow(frames, "doc_id long, n long, frame binary"), "token-frames", "none")
     total = encoded.agg(F.sum(F.length("frame"))).first()[0] or 0

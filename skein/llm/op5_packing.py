@@ -1,15 +1,17 @@
 """Packing: lexical retrieval packing with a sharded BM25 inverted index.
 
-Documents are tokenised, dealt to shards of bounded size by a lexical signature (a min-hash of neighbouring id pairs, ties
-by doc_id), and packed shard by shard: the next unused document seeds a window, an inverted index over the shard's
-token ids scores the others by BM25 over all ids of the seed, and unused neighbours fill the window best first. What does not fit is cut and seeds
-the next window. A seed meets the documents of its own shard alone; the README gives the share of its neighbours in the
-whole corpus that it finds there. Document frequencies and the mean length are those of the whole corpus; they are at most one number
-for each id of the vocabulary. Full windows of a long document stand alone. A shard's last, short window is
-cut into sequences whose lengths are powers of two, so nothing is padded.
+Documents are tokenised, dealt to shards of bounded size by a lexical signature (the hash of a min-hash of neighbouring id
+pairs; a signature that holds more than a shard is dealt on by doc_id), and packed shard by shard: the next unused document
+seeds a window, an inverted index over the shard's token ids scores the others by BM25 over all ids of the seed, and unused
+neighbours fill the window best first. What does not fit is cut and seeds the next window. A seed meets the documents of its
+own shard alone; the README gives the share of its neighbours in the whole corpus that it finds there. Document frequencies
+and the mean length are those of the whole corpus; they are at most one number for each id of the vocabulary. Full windows
+of a long document stand alone. A shard's last, short window is cut into sequences whose lengths are powers of two, so
+nothing is padded. Two runs over one table give the same sequences.
 
 Results: a null text is empty and has its end id alone; null and repeated doc_ids are packed row by row; equal scores go
-to the earlier document in the shard; an empty table gives an empty table; other columns are ignored.
+to the earlier document in the shard; a very long text is cut into full windows and a rest; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,46 +30,69 @@ K1, B = 1.2, 0.75
 #: The index lets go of placed documents whenever they are this share of it.
 DROP = 0.125
 SHARD_TOKENS = 2_000_000
+NAMES = ["doc_id", "n", "sig", "ids"]
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n, sig and ids (little-endian, two bytes each if the vocabulary allows, else four) of every row."""
-    wide = vocabulary_size(tokenizer) > 65_536
+    """doc_id, n, sig and ids (little-endian, two bytes each if the vocabulary allows, else four) of every row.
+
+    Rows with a null n hold in ids the document frequencies within a task, one 8-byte number for each id of the vocabulary,
+    compressed."""
+    size = vocabulary_size(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(tokenizer)
+        enc, df = tokens.encoder(tokenizer), np.zeros(size, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                n, sig, out = [], [], []
-                for data in tokens.encode_texts(b.column(1).slice(at, 1024), enc, end_id):
-                    ids = np.frombuffer(data, "<u4")
-                    pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:]
-                    n.append(len(ids))
-                    sig.append(int(common.mix(pairs).min() >> np.uint64(1)) if len(pairs) else 0)
-                    out.append(ids.astype("<u4" if wide else "<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1024), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "sig", "ids"])
+            at = 0
+            for rows in tokens.encode_rows(b.column(1), enc, end_id):
+                df += np.bincount(distinct(rows)[1], minlength=size)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(rows)), pa.array(np.diff(rows.at)), pa.array(signatures(rows)), tokens.binary_rows(rows, id_kind(size))], NAMES)
+                at += len(rows)
+        if df.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([common.pack(df)], pa.binary())], NAMES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text").alias("text")).mapInArrow(run, "doc_id long, n long, sig long, ids binary")
 
 
+def id_kind(size: int) -> str:
+    return "<u4" if size > 65_536 else "<u2"
+
+
+def signatures(rows: tokens.Rows) -> np.ndarray:
+    """Min-hash of each row's neighbouring id pairs; 0 for a row of one id. Every row has an id."""
+    hashed = common.mix(rows.ids[:-1].astype(np.uint64) << np.uint64(32) | rows.ids[1:])
+    hashed = np.append(hashed, np.uint64(0))
+    hashed[rows.at[1:] - 1] = np.uint64(2**64 - 1)  # the pair of a row's last id and the next row's first
+    out = np.minimum.reduceat(hashed, rows.at[:-1]) >> np.uint64(1)
+    out[np.diff(rows.at) == 1] = 0
+    return out.astype(np.int64)
+
+
+def distinct(rows: tokens.Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and count of each distinct id of each row, in that order."""
+    key = np.sort(np.repeat(np.arange(len(rows), dtype=np.uint64) << np.uint64(32), np.diff(rows.at)) | rows.ids)
+    at = common.starts_of(key)
+    key = key[at] if len(at) else key
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), np.diff(np.append(at, rows.at[-1]))
+
+
 def vocabulary_size(tokenizer: str) -> int:
     return tokens.encoder(tokenizer).tokenizer.get_vocab_size()
 
 
 def document_frequencies(table: DataFrame, size: int) -> np.ndarray:
-    """Number of documents with each id, over the whole corpus; at most one row for each id of the vocabulary."""
-    kind = "<u4" if size > 65_536 else "<u2"
+    """Number of documents with each id, over the whole corpus, from the rows with a null n; at most one row for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column(0):
-                sums[np.unique(np.frombuffer(x.as_buffer(), kind))] += 1
+                sums += common.unpack(x.as_py(), np.int64)
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], ["term", "n"])
 
-    got = table.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    got = table.where("n is null").select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(size, np.int64)
     df[got["term"].to_numpy()] = got["n"].to_numpy()
     return df
@@ -78,12 +102,10 @@ class Index:
     """BM25 inverted index over the documents of one shard."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, tfs = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
-        sizes = np.array([len(t) for t in terms])
-        term, tf, doc = np.concatenate(terms).astype(np.int64), np.concatenate(tfs), np.repeat(np.arange(len(docs)), sizes)
         length = np.array([len(d) for d in docs])
+        doc, term, tf = distinct(tokens.Rows(np.concatenate(docs), length))
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_length, 1e-9)))).astype(np.float32)
-        self.n, self.bounds = len(docs), np.concatenate([[0], np.cumsum(sizes)])
+        self.n, self.bounds = len(docs), np.searchsorted(doc, np.arange(len(docs) + 1))
         self.doc_terms, self.live = term, len(docs)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order].astype(np.int32), weight[order]
@@ -171,34 +193,50 @@ def powers_of_two(mine: list[tuple], total: int, seq: int) -> tuple[list[tuple],
     return out, seq
 
 
+def sharded(table: DataFrame, total: int, shard_tokens: int) -> tuple[DataFrame, int]:
+    """table with its rows' shard, and the number of shards: by the hash of sig, and within a sig of more than a shard by doc_id as well."""
+    parts = max(1, -(-total // shard_tokens))
+    hot = table.groupBy("sig").agg(F.sum("n").alias("held")).where(F.col("held") > shard_tokens).select("sig", F.ceil(F.col("held") / shard_tokens).alias("pieces"))
+    hot = common.staged(hot, "hot-signatures")  # at most one row for each shard; written, so that Spark knows its size when it picks the join
+    salt = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.coalesce("pieces", F.lit(1)))
+    return table.join(hot, "sig", "left").withColumn("shard", F.pmod(F.xxhash64("sig", salt), F.lit(parts))).drop("pieces"), parts
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """PIECES of all rows of docs (doc_id, text); a shard holds about shard_tokens ids, or one document if that has more."""
     spark = docs.sparkSession
     tokenizer = tokenizer or tokens.vocabulary_path()
     size = vocabulary_size(tokenizer)
-    kind = "<u4" if size > 65_536 else "<u2"
+    kind = id_kind(size)
     table = common.staged(token_table(docs, tokenizer, end_id), "tokens")
-    n, total = table.agg(F.count(F.lit(1)), F.sum("n")).first()
     df = document_frequencies(table, size)
+    table = table.where("n is not null")
+    n, total = table.agg(F.count(F.lit(1)), F.sum("n")).first()
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     shared = spark.sparkContext.broadcast((idf, (total or 0) / max(1, n)))  # one number for each id of the vocabulary
+    dealt, parts = sharded(table, total or 0, shard_tokens)
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        rows, held = [], 0
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[tuple]]]:
+        """Shard, whether it goes on after another part of it, and its rows, at most twice shard_tokens or one document."""
+        rows, held, now, more = [], 0, None, False
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for shard, doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if rows and (shard != now or held >= 2 * shard_tokens):
+                    yield now, more, rows
+                    rows, held, more = [], 0, shard == now
+                elif shard != now:
+                    more = False
+                now = shard
                 rows.append((doc_id, np.frombuffer(ids.as_buffer(), kind)))
                 held += len(rows[-1][1])
-                if held >= 2 * shard_tokens:
-                    yield rows
-                    rows, held = [], 0
         if rows:
-            yield rows
+            yield now, more, rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean_length = shared.value
-        base = TaskContext.get().partitionId() << 32
-        for rows in shards(batches):
+        base = 0
+        for shard, more, rows in shards(batches):
+            base = base if more else shard << 32
             pieces = pack_shard([r[1] for r in rows], idf, mean_length, window)
             for at in range(0, len(pieces), 2048):
                 part = pieces[at : at + 2048]
@@ -208,8 +246,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
                 ], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             base += max(p[3] for p in pieces) + 1
 
-    parts = max(1, -(-(total or 0) // shard_tokens))
-    return table.repartitionByRange(parts, "sig", "doc_id").sortWithinPartitions("sig", "doc_id", F.crc32("ids")).select("doc_id", "ids").mapInArrow(run, PIECES)
+    # beyond 256 shards a task packs up to some eight, one after the other
+    ordered = dealt.repartition(max(min(parts, 256), parts // 8), "shard").sortWithinPartitions("shard", "sig", "doc_id", F.crc32("ids"))
+    return ordered.select("shard", "doc_id", "ids").mapInArrow(run, PIECES)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: What a Python worker keeps; the rest is encoded anew in each chunk.
 CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 300_000, 300_000, 48
 #: Bytes of text that are encoded at a time, or one text; words that are put together at a time.
@@ -200,9 +202,9 @@ class WordIds:
         return Rows(got.ids, np.bincount(np.cumsum(space)[~space], np.diff(got.at), n).astype(np.int64))
 
 
-@lru_cache(2)
 def encoder(path: str) -> WordIds:
-    return WordIds(path)
+    """This worker's WordIds for the vocabulary."""
+    return common.kept(("ids", path), lambda: WordIds(path))
 
 
 def chunks(texts: pa.Array) -> Iterator[pa.Array]:
@@ -215,17 +217,31 @@ def chunks(texts: pa.Array) -> Iterator[pa.Array]:
         at = end
 
 
-def encode_texts(texts: pa.Array | list[bytes | None], ids: WordIds, end_id: int) -> list[bytes]:
-    """For each text its ids and end_id, as little-endian uint32 bytes."""
-    end, out = int(end_id).to_bytes(4, "little"), []
-    texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
+def encode_rows(texts: pa.Array, ids: WordIds, end_id: int) -> Iterator[Rows]:
+    """The ids of the texts (null: none), each text's with end_id behind them, chunk by chunk."""
     for part in chunks(texts):
         split = pc.ascii_split_whitespace(part.view(pa.large_string() if pa.types.is_large_binary(part.type) else pa.string()))
         coded = split.flatten().dictionary_encode()
         known = ids.words.look_up(coded.dictionary.view(pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()).to_pylist(), ids.find)
         codes = coded.indices.to_numpy()
         bounds = starts(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))
-        at = starts(np.diff(known.at)[codes])[bounds].tolist()
-        raw = b"".join([known.take(codes[i : i + CHUNK_WORDS]).ids.tobytes() for i in range(0, len(codes), CHUNK_WORDS)])
-        out += [raw[4 * a : 4 * b] + end for a, b in zip(at, at[1:])]
+        at = starts(np.diff(known.at)[codes])[bounds]
+        flat = np.concatenate([known.take(codes[i : i + CHUNK_WORDS]).ids for i in range(0, len(codes), CHUNK_WORDS)]) if len(codes) else np.empty(0, np.uint32)
+        yield Rows(np.insert(flat, at[1:], np.uint32(end_id)), np.diff(at) + 1)
+
+
+def encode_texts(texts: pa.Array | list[bytes | None], ids: WordIds, end_id: int) -> list[bytes]:
+    """For each text its ids and end_id, as little-endian uint32 bytes."""
+    out = []
+    for rows in encode_rows(pa.array(texts, pa.binary()) if isinstance(texts, list) else texts, ids, end_id):
+        raw, at = rows.ids.astype("<u4", copy=False).tobytes(), (4 * rows.at).tolist()
+        out += [raw[a:b] for a, b in zip(at, at[1:])]
     return out
+
+
+def binary_rows(rows: Rows, kind: str) -> pa.Array:
+    """The rows as a binary array of little-endian numbers."""
+    data = rows.ids.astype(kind, copy=False)
+    if data.nbytes < 1 << 31:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((rows.at * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+    return pa.array([data[a:b].tobytes() for a, b in zip(rows.at, rows.at[1:], strict=False)], pa.binary())
