@@ -6,9 +6,11 @@ the digest and refer to the first. read_records() parses archives; captures() jo
 WARC-Concurrent-To and emits one nested row per capture, resolving a revisit's payload length by the record it
 refers to.
 
-Results: a null html is an empty payload, a null url is recorded as `urn:page:<page_id>`; rows with a null page_id are
-not captures and are left out; if a page_id or a whole row repeats, each row is a capture of its own (equal rows are
-numbered; the first response of a payload is that which hashes lowest); an empty table gives no archives; other columns are ignored.
+Results: a null html is an empty payload, a null url is recorded as `urn:page:<page_id>`; a null page_id counts as larger
+than any other, so such a row is a revisit if a row with a page_id has its payload, else a response; if a page_id or a whole
+row repeats, each row is a capture of its own (equal rows are numbered; the first response of a payload is that which hashes
+lowest); a very long payload is one record, streamed through gzip whole; an empty table gives no archives; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,20 +33,23 @@ def record_types(pages: DataFrame, revisit_bytes: int = 100) -> DataFrame:
 
     Only digests that occur more than once are joined back. Rows that are equal in page_id, url and payload get a number
     in their uid; just the rows of digests that have such are dealt anew for it."""
-    rows = pages.where(F.col("page_id").isNotNull()).select(
-        F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))).alias("url"), F.coalesce(common.utf8("html"), F.lit(b"")).alias("payload")
-    )
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("uid", F.concat_ws("-", F.col("page_id").cast("string"), F.substring(F.sha2(F.concat_ws("|", "url", "digest"), 256), 1, 16)))
+    named = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), named)).alias("url"), F.coalesce(common.utf8("html"), F.lit(b"")).alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("uid", F.concat_ws("-", named, F.substring(F.sha2(F.concat_ws("|", "url", "digest"), 256), 1, 16)))
     copies = rows.groupBy("digest", "page_id", "uid").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("payload")).alias("size"))
-    again = common.staged(copies.groupBy("digest").agg(F.min(F.struct("page_id", "uid")).alias("first"), F.sum("copies").alias("n"), F.max("copies").alias("copies"), F.max("size").alias("size")).where("n > 1"), "warc-digests")
+    again = common.staged(copies.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")).alias("first"), F.sum("copies").alias("n"), F.max("copies").alias("copies"), F.max("size").alias("size")).where("n > 1"), "warc-digests")
     equal = again.where("copies > 1").select("digest")
     if not equal.isEmpty():
-        number = F.row_number().over(Window.partitionBy("uid").orderBy("digest"))  # rows of one uid are equal in all columns
-        numbered = rows.join(equal, "digest", "left_semi").withColumn("number", number).withColumn("uid", F.when(F.col("number") > 1, F.concat_ws("-", "uid", "number")).otherwise(F.col("uid"))).drop("number")
+        # numbered within the parts of the input, so that a page of a third of all rows is no hot group
+        parted = rows.withColumn("part", F.spark_partition_id()).join(equal, "digest", "left_semi")
+        least = parted.groupBy("uid").agg(F.min("part").alias("least"))
+        number = F.row_number().over(Window.partitionBy("uid", "part").orderBy("digest"))  # rows of one uid are equal in all columns
+        numbered = parted.withColumn("number", number).join(least, "uid")
+        numbered = numbered.withColumn("uid", F.when((F.col("part") > F.col("least")) | (F.col("number") > 1), F.concat_ws("-", "uid", "part", "number")).otherwise(F.col("uid"))).select(*rows.columns)
         rows = rows.join(equal, "digest", "left_anti").select(*numbered.columns).unionByName(numbered)
     firsts = again.where(F.col("size") >= revisit_bytes).select("digest", F.col("first.uid").alias("first_uid"), F.col("first.page_id").alias("first_page"))
     joined = rows.join(firsts, "digest", "left")
-    return joined.withColumn("first_uid", F.when(F.col("first_page") < F.col("page_id"), F.col("first_uid")))
+    return joined.withColumn("first_uid", F.when((F.col("first_page") < F.col("page_id")) | (F.col("page_id").isNull() & F.col("first_page").isNotNull()), F.col("first_uid")))
 
 
 def uuid_of(text: str, kind: str) -> str:
@@ -61,7 +66,7 @@ def record(kind: str, record_id: str, uri: str, content_type: str, block: bytes,
     return z.compress(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def transaction(page_id: int, uid: str, url: str, payload: bytes, digest: str, first_uid: str | None) -> list[bytes]:
+def transaction(page_id: int | None, uid: str, url: str, payload: bytes, digest: str, first_uid: str | None) -> list[bytes]:
     """The request, response or revisit, and metadata records of one capture."""
     mine, path = uuid_of(uid, "response"), url.partition("//")[2].partition("/")[2].split("\r")[0].split("\n")[0]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -72,7 +77,7 @@ def transaction(page_id: int, uid: str, url: str, payload: bytes, digest: str, f
     return [
         record("request", uuid_of(uid, "request"), url, "application/http; msgtype=request", f"GET /{path} HTTP/1.1\r\n\r\n".encode(), WARC_Concurrent_To=mine),
         answer,
-        record("metadata", uuid_of(uid, "metadata"), url, "application/warc-fields", f"page-id: {page_id}\r\n".encode(), WARC_Concurrent_To=mine),
+        record("metadata", uuid_of(uid, "metadata"), url, "application/warc-fields", (b"" if page_id is None else b"page-id: %d\r\n" % page_id), WARC_Concurrent_To=mine),
     ]
 
 
@@ -167,7 +172,7 @@ def read_records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return manifest.select("uri").repartition(F.col("uri")).mapInArrow(run, RECORD)
+    return manifest.select("uri").repartition(max(1, manifest.count())).mapInArrow(run, RECORD)  # a task for each file
 
 
 def captures(records: DataFrame) -> DataFrame:
@@ -196,10 +201,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages WHERE page_id IS NOT NULL),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_page FROM p)
-SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
-       CASE WHEN n >= 100 AND first_page < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND first_page < page_id THEN first_page END AS refers_to
-FROM f
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_page FROM p),
+r AS (SELECT *, n >= 100 AND first_page IS NOT NULL AND (page_id IS NULL OR first_page < page_id) AS again FROM f)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_page END AS refers_to
+FROM r
 """
