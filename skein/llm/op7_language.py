@@ -1,8 +1,9 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Results: a text that is null or has no letter is `und` with score 0; so is every text if nothing could be learned.
-Extra columns are kept, an empty table gives an empty table, repeated rows are each predicted alike, and ties of
-two languages go to the first in the alphabet.
+Results: a text that is null or has no letter (Unicode's categories L) is `und` with score 0; so is every text if nothing
+could be learned. A very long text is scored whole, part by part; extra columns are kept, an empty table gives an empty
+table, repeated rows are each predicted alike, ties of two languages go to the first in the alphabet, and a row without a
+doc_id is neither learned from nor held out.
 """
 
 from __future__ import annotations
@@ -22,43 +23,75 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 LETTER = re.compile(r"[^\W\d_]")
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+#: Code points that are scored at a time; a longer text goes part by part.
+CHUNK = 1 << 18
 
 
-def features(text: str) -> np.ndarray:
-    """Hash buckets of the text's 1-, 2- and 3-character grams, lower case, in no order."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out, h = [], np.zeros(len(c), np.uint32)
+def has_letter(text: str) -> bool:
+    """Is a character of Unicode's categories L in it? (The pattern also finds number signs such as superscripts.)"""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
+def grams(points: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order, the hash bucket of the gram that starts at each code point; BUCKETS where its text (of which `left` are left) ends before the gram does."""
+    h = np.zeros(len(points), np.uint32)
     for n in ORDERS:
-        if len(c) < n:
-            break
-        h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] * FACTORS[n - 1] + np.uint32(n)
+        m = len(points) - n + 1
+        if m <= 0:
+            return
+        h = h[:m] * np.uint32(0x01000193) + points[n - 1 :] * FACTORS[n - 1] + np.uint32(n)
         g = h ^ (h >> np.uint32(15))
-        g = g * np.uint32(0x2C1B3C6D)
-        out.append((g >> np.uint32(12)) & np.uint32(BUCKETS - 1))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+        g *= np.uint32(0x2C1B3C6D)
+        out = np.full(len(points), BUCKETS, np.uint32)
+        out[:m] = (g >> np.uint32(12)) & np.uint32(BUCKETS - 1)
+        out[left < n] = BUCKETS
+        yield out
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse batches of about CHUNK code points: which texts (in order, none empty), where each starts, and the lower-case code points with the number left in their text.
+
+    A long text comes in parts; a part's last code points come again, with nothing left, at the start of none: each gram is in just one part."""
+    rows, parts, lefts, starts, held = [], [], [], [], 0
+
+    def batch():
+        return np.array(rows), np.array(starts), np.concatenate(parts), np.concatenate(lefts)
+
+    for i, text in enumerate(texts):
+        c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        for at in range(0, len(c), CHUNK):
+            more = c[at : at + CHUNK + max(ORDERS) - 1]
+            left = len(c) - at - np.arange(len(more))
+            left[CHUNK:] = 0  # their grams start in the next part
+            rows.append(i), parts.append(more), lefts.append(left), starts.append(held)
+            held += len(more)
+            if held >= CHUNK:
+                yield batch()
+                rows, parts, lefts, starts, held = [], [], [], [], 0
+    if rows:
+        yield batch()
 
 
 class Model:
     """langs, in order, and their log probabilities: BUCKETS x langs float32, at most BUCKETS * 4 bytes a language."""
 
     def __init__(self, langs: list[str], table: np.ndarray, prior: np.ndarray):
-        self.langs, self.table, self.prior = langs, table, prior
-
-    def scores(self, text: bytes) -> tuple[str, float]:
-        text = text.decode("utf-8", "replace")
-        if not self.langs or not LETTER.search(text):
-            return "und", 0.0
-        # whole texts, in blocks that bound the memory
-        total, n = np.zeros(len(self.langs)), 0
-        for at in range(0, len(text), 65_536):
-            f = features(text[max(0, at - (max(ORDERS) - 1)) : at + 65_536])
-            total += self.table.take(f, axis=0).sum(axis=0, dtype=np.float64)
-            n += len(f)
+        self.langs, self.prior = langs, prior
+        self.table = np.vstack([table, np.zeros((1, len(langs)))]).astype(np.float32)  # a gram that is none adds nothing
+
+    def scores(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        """Language and probability of each text: the rows of gram counts, as a sparse matrix, times the table."""
+        strings = [(t or b"").decode("utf-8", "replace") for t in texts]
+        told = [bool(self.langs) and has_letter(s) for s in strings]
+        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        for rows, starts, points, left in chunks([s if ok else "" for s, ok in zip(strings, told, strict=True)]):
+            for bucket in grams(points, left):
+                np.add.at(total, rows, np.add.reduceat(self.table.take(bucket, axis=0), starts, axis=0))
+                np.add.at(n, rows, np.add.reduceat((bucket < BUCKETS).astype(np.int64), starts))
         # the evidence of overlapping grams is not independent: weigh a text as 60 grams at most
-        s = self.prior + total * min(1.0, 60 / max(1, n))
-        p = np.exp(s - s.max())
-        best = int(s.argmax())
-        return self.langs[best], float(p[best] / p.sum())
+        s = self.prior + total * np.minimum(1.0, 60 / np.maximum(1, n))[:, None]
+        p = np.exp(s - s.max(axis=1, keepdims=True)) if self.langs else s
+        return [(self.langs[k], float(x[k] / x.sum())) if ok else ("und", 0.0) for ok, x, k in zip(told, p, p.argmax(axis=1) if self.langs else told, strict=True)]
 
 
 def learned_rows(docs: DataFrame) -> DataFrame:
@@ -74,45 +107,55 @@ def fit(docs: DataFrame, fit_docs: int = 40_000, alpha: float = 0.5) -> Model:
     picked = rows.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
+        index: dict[str, int] = {}
+        seen: list[int] = []
+        sums = np.zeros((0, BUCKETS + 1), np.int64)
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mine = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                seen[lang] = seen.get(lang, 0) + 1
-                text = (text or b"").decode("utf-8", "replace")
-                for at in range(0, len(text), 65_536):
-                    mine += np.bincount(features(text[max(0, at - 2) : at + 65_536]), minlength=BUCKETS)
-        for lang, mine in sums.items():
+            langs = b.column(0).to_pylist()
+            for lang in langs:
+                if lang not in index:
+                    index[lang] = len(index)
+                    seen.append(0)
+                seen[index[lang]] += 1
+            sums = np.vstack([sums, np.zeros((len(index) - len(sums), BUCKETS + 1), np.int64)])
+            for rows, starts, points, left in chunks([(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()]):
+                of = np.repeat([index[langs[i]] * (BUCKETS + 1) for i in rows.tolist()], np.diff(np.append(starts, len(points))))
+                for bucket in grams(points, left):
+                    sums += np.bincount(of + bucket, minlength=sums.size).reshape(sums.shape)
+        for lang, i in index.items():
+            mine = sums[i, :BUCKETS]
             f = np.flatnonzero(mine)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(f) + 1)), pa.array(np.append(f, -1)), pa.array(np.append(mine[f], seen[lang]))], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(f) + 1)), pa.array(np.append(f, -1)), pa.array(np.append(mine[f], seen[i]))], ["lang", "bucket", "n"])
 
-    sums = picked.coalesce(8).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows a language
+    sums = picked.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows a language
     langs = sorted(sums["lang"].unique())
     table, prior = np.full((BUCKETS, len(langs)), alpha), np.zeros(len(langs))
     for i, lang in enumerate(langs):
         mine = sums[sums["lang"] == lang]
         prior[i] = mine.loc[mine["bucket"] < 0, "n"].sum()
-        grams = mine[mine["bucket"] >= 0]
-        table[grams["bucket"].to_numpy(), i] += grams["n"].to_numpy()
+        counts = mine[mine["bucket"] >= 0]
+        table[counts["bucket"].to_numpy(), i] += counts["n"].to_numpy()
     table = np.log(table / table.sum(axis=0)) if langs else table
-    return Model([str(x) for x in langs], table.astype(np.float32), np.log(prior / prior.sum()) if langs else prior)
+    return Model([str(x) for x in langs], table, np.log(prior / prior.sum()) if langs else prior)
 
 
 def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with two more columns (named anew if docs has them already)."""
-    pred, score, raw = common.column_named(docs, pred), common.column_named(docs, score), common.column_named(docs, "text_utf8")
+    pred, score = common.column_named(docs, pred), common.column_named(docs, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns
+    docs = docs.withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
-            got = [model.scores(t.as_py()) if t.is_valid else ("und", 0.0) for t in b.column(len(kept))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, pred, score])
+        for whole in batches:
+            for b in common.slices(whole, "text"):
+                texts = b.column(b.schema.get_field_index("text"))
+                got = model.scores(texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, pred, score])
 
     out = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.withColumn(raw, common.utf8("text")).mapInArrow(run, out)
+    return docs.mapInArrow(run, out)
 
 
 def identified(docs: DataFrame, least_score: float = 0.5, fit_docs: int = 40_000) -> DataFrame:
@@ -125,5 +168,5 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, held_out, lang_pred, score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     model = fit(docs)
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -7,7 +7,8 @@ documents over the calibrated cut are kept.
 
 Results: a null text has no features and gets the grade of the thresholds alone; without ratings every document has
 a null grade and probability and is kept; rows with a null rating are not learned from; of several ratings of a
-document all count; an empty table gives an empty table; other columns are ignored.
+document, and of several documents of a rated doc_id, all count; a very long text counts whole; equal documents get equal
+grades, and of equally good cuts the middle one is taken; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,6 +73,18 @@ class Ordinal:
     def thresholds(self) -> np.ndarray:
         return self.first + np.concatenate([[0.0], np.cumsum(np.exp(self.gaps))])
 
+    def gradients(self, score: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The mean negative log likelihood of grades y at the scores, and its derivatives by score and by (first, *gaps)."""
+        cuts = np.concatenate([[-np.inf], self.thresholds, [np.inf]])
+        up, low = sigmoid(cuts[y + 1] - score), sigmoid(cuts[y] - score)
+        p, du, dl = np.maximum(up - low, 1e-9), up * (1 - up), low * (1 - low)
+        g_cut = np.zeros(len(cuts))
+        np.add.at(g_cut, y + 1, -du / p)
+        np.add.at(g_cut, y, dl / p)
+        g_cut = g_cut[1:-1] / len(y)
+        g_t = np.concatenate([[g_cut.sum()], [g_cut[j + 1 :].sum() * np.exp(self.gaps[j]) for j in range(len(self.gaps))]])
+        return float(-np.log(p).mean()), (du - dl) / p / len(y), g_t
+
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 20, batch: int = 128, rate: float = 0.3, decay: float = 1e-3, seed: int = 3) -> None:
         """Adagrad on the penalised negative log likelihood. Thresholds stay ordered because only their log gaps move."""
         scale = contrast(docs, y == len(self.gaps) + 1)
@@ -83,20 +96,11 @@ class Ordinal:
                 mine = order[at : at + batch]
                 idx, val = np.concatenate([docs[i][0] for i in mine]), np.concatenate([docs[i][1] for i in mine])
                 row = np.repeat(np.arange(len(mine)), [len(docs[i][0]) for i in mine])
-                score = np.bincount(row, self.w[idx] * val, minlength=len(mine))
-                cuts = np.concatenate([[-np.inf], self.thresholds, [np.inf]])
-                up, low = sigmoid(cuts[y[mine] + 1] - score), sigmoid(cuts[y[mine]] - score)
-                p, du, dl = np.maximum(up - low, 1e-9), up * (1 - up), low * (1 - low)
-                g_score = (du - dl) / p  # d(-log p)/d(score)
+                _, g_score, g_t = self.gradients(np.bincount(row, self.w[idx] * val, minlength=len(mine)), y[mine])
                 found, inv = np.unique(idx, return_inverse=True)
-                g = np.bincount(inv, g_score[row] * val) / len(mine) + decay * self.w[found]
+                g = np.bincount(inv, g_score[row] * val) + decay * self.w[found]
                 seen[found] += g * g
                 self.w[found] -= rate * g / np.sqrt(seen[found])
-                g_cut = np.zeros(len(cuts))
-                np.add.at(g_cut, y[mine] + 1, -du / p)
-                np.add.at(g_cut, y[mine], dl / p)
-                g_cut = g_cut[1:-1] / len(mine)
-                g_t = np.concatenate([[g_cut.sum()], [g_cut[j + 1 :].sum() * np.exp(self.gaps[j]) for j in range(len(self.gaps))]])
                 seen_t += g_t * g_t
                 step = 0.1 * g_t / np.sqrt(seen_t)
                 self.first -= step[0]
@@ -113,22 +117,36 @@ def rated(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, fit_docs: int = 12_000, keep_good: float = 0.995) -> tuple[Ordinal, float] | None:
-    """The model and the cut on the tail probability, from at most fit_docs rated documents picked by the hash of doc_id.
-
-    A fifth of them is held out of the fit and sets the cut: the value that best tells top grades from others while
-    keep_good of the top grades stay."""
-    picked = ratings.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(fit_docs)
+def _fit_rows(docs: DataFrame, ratings: DataFrame, fit_docs: int, fit_features: int) -> list:
+    """Rows grade, idx, val of the documents that are learned from."""
+    h = F.xxhash64("doc_id")
+    picked = common.hash_share(ratings, h, fit_docs, ratings.count()).orderBy(h, "doc_id", "grade").limit(fit_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.utf8("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for b in batches:
             got = [vector(t.as_py(), buckets) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], ["grade", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], ["h", "grade", "n", "idx", "val"])
+
+    joined = texts.join(F.broadcast(picked), "doc_id").select("text", h.alias("h"), "grade")  # at most fit_docs rows of two numbers
+    vectors = common.staged(joined.mapInArrow(run, "h long, grade int, n long, idx binary, val binary"), "rated-vectors")
+    # the first hashes whose documents are within fit_features together; a document counts as 64 at least, which bounds the rows
+    by_hash = vectors.groupBy("h").agg(F.sum(F.greatest("n", F.lit(64))).alias("n")).orderBy("h").toPandas()  # at most fit_docs rows
+    fits = np.flatnonzero(by_hash["n"].cumsum().to_numpy() <= fit_features)
+    if len(fits):
+        vectors = vectors.where(F.col("h") <= int(by_hash["h"][int(fits[-1])]))
+    else:  # the first doc_id alone has more, in very many rows
+        vectors = vectors.orderBy("h", "n", "idx").limit(max(1, fit_features >> BITS))
+    return vectors.select("grade", "idx", "val").collect()
 
-    joined = texts.join(F.broadcast(picked), "doc_id").select("text", "grade")  # at most fit_docs rows of two numbers
-    rows = joined.mapInArrow(run, "grade int, idx binary, val binary").collect()
+
+def train(docs: DataFrame, ratings: DataFrame, fit_docs: int = 12_000, fit_features: int = 8_000_000, keep_good: float = 0.995) -> tuple[Ordinal, float] | None:
+    """The model and the cut on the tail probability, from at most fit_docs rated documents picked by the hash of doc_id, with at most fit_features features together (8 bytes each), the first by that hash.
+
+    A fifth of them is held out of the fit and sets the cut: the value that best tells top grades from others while
+    keep_good of the top grades stay."""
+    rows = _fit_rows(docs, ratings, fit_docs, fit_features)
     if not rows:
         return None
     rows.sort(key=lambda r: (r.grade, r.idx, r.val))
