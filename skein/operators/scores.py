@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bits, vectors
-from ..sources.tables import table
-from .fingerprints import QW, W, asked, cols, hashed, pairs
-from .topk import score_all, topk
-
-SUBSPACES, WIDTH, CODES, ROUNDS = 8, 8, 16, 2
-PROBES = 4
+from ..functions import vectors
+from . import quantise
+from .fingerprints import EVERY, HASHED, POOL, SHAM, asked, ham, hashed, sql_near, sql_one, vectors_of
+from .topk import asked_in_blocks, score_all, topk
 
 
 def qv() -> Column:
@@ -24,6 +19,16 @@ def dv() -> Column:
     return F.col("embedding")
 
 
+def pairs(spark, sf_dir) -> DataFrame:
+    v = vectors_of(spark, sf_dir).select("doc_id", "embedding")
+    return asked_in_blocks(v, asked(v))
+
+
+def sign_gap() -> Column:
+    """Components whose signs differ."""
+    return F.aggregate(F.zip_with(qv(), dv(), lambda x, y: ((x > 0) != (y > 0)).cast("int")), F.lit(0), lambda s, x: s + x).cast("long")
+
+
 def _r(x: Column) -> Column:
     return F.round(x, 6) + F.lit(0.0)  # no negative zero
 
@@ -36,12 +41,12 @@ def _sum(a: Column, f, b: Column | None = None) -> Column:
 def similarity_catalogue(spark, sf_dir) -> DataFrame:
     """Kernels and inverse distances of every vector to the stated queries."""
     d = pairs(spark, sf_dir).select(
-        F.col("q_id").alias("query_id"), "doc_id", vectors.dot(qv(), dv()).alias("dot"), vectors.l2_sq(qv(), dv()).alias("d2"), vectors.l1(qv(), dv()).alias("d1"), bits.hamming(cols(QW), cols(W)).alias("h")
+        F.col("q_id").alias("query_id"), "doc_id", vectors.dot(qv(), dv()).alias("dot"), vectors.l2_sq(qv(), dv()).alias("d2"), vectors.l1(qv(), dv()).alias("d1"), sign_gap().alias("h")
     )
     s = {
         "dot_product": F.col("dot"), "l1_inverse": 1 / (1 + F.col("d1")), "spectral": 1 / (1 + F.sqrt("d2")), "polynomial": F.pow(1 + F.col("dot"), F.lit(3)), "rbf": F.exp(-F.col("d2") / 2), "sigmoid": F.tanh("dot"),
         "sign_agreement": 1 - F.col("h") / 64.0, "fidelity": F.col("dot") * F.col("dot"), "serendipity": 0.7 * F.abs("dot") + 0.3 * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("dot") * F.col("dot"))),
-        "swap_test": 0.5 + 0.5 * F.col("dot") * F.col("dot"), "fused_integer": 64 * F.col("h") + F.least(32 * F.col("d2"), F.lit(4096.0)),
+        "swap_test": 0.5 + 0.5 * F.col("dot") * F.col("dot"), "bures": F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.abs("dot"))), "helstrom": 0.5 * (1 - F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("dot") * F.col("dot")))), "spectral_angle": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dot")))),
     }
     return d.select("query_id", "doc_id", *(_r(c).alias(k) for k, c in s.items()))
 
@@ -49,8 +54,8 @@ def similarity_catalogue(spark, sf_dir) -> DataFrame:
 def distribution_distances(spark, sf_dir) -> DataFrame:
     """Distances of the squared components, which are a distribution for unit vectors, and of sorted components."""
     square = lambda v: F.transform(v, lambda x: x.cast("double") * x.cast("double") / _sum(v, lambda y: y * y))
-    e = hashed(spark, sf_dir).select("doc_id", "embedding", square(F.col("embedding")).alias("p"))
-    d = e.crossJoin(F.broadcast(asked(e)))  # at most five stated queries
+    e = vectors_of(spark, sf_dir).select("doc_id", "embedding", square(F.col("embedding")).alias("p"))
+    d = asked_in_blocks(e, asked(e))
     p, q = F.col("q_p"), F.col("p")
     mid = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0) + F.when(y > 0, y * F.log2(2 * y / (x + y))).otherwise(0.0)
     s = {
@@ -63,108 +68,103 @@ def distribution_distances(spark, sf_dir) -> DataFrame:
 def poincare_topk(spark, sf_dir) -> DataFrame:
     """Nearest in the Poincaré ball, vectors shrunk to nine tenths."""
     gap = (1 - 0.81 * vectors.dot(qv(), qv())) * (1 - 0.81 * vectors.dot(dv(), dv()))
-    h = hashed(spark, sf_dir)
+    h = vectors_of(spark, sf_dir)
     return score_all(asked(h), h, _r(F.acosh(1 + 2 * 0.81 * vectors.l2_sq(qv(), dv()) / gap)), 10, True, True)
 
 
+def plane(a: str, b: str) -> Column:
+    return F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))
+
+
 def ternary_topk(spark, sf_dir) -> DataFrame:
-    """Signed overlap of planes w0 (+1) and w1 (-1; where both are set they cancel)."""
-    plane = lambda a, b: F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))
-    h = hashed(spark, sf_dir).select("doc_id", plane("w0", "w1").alias("pos"), plane("w1", "w0").alias("neg"))
+    """Signed overlap of planes h0 (+1) and h1 (-1; where both are set they cancel)."""
+    h = hashed(spark, sf_dir).select("doc_id", plane("h0", "h1").alias("pos"), plane("h1", "h0").alias("neg"))
     n = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.col(b)))
     score = n("pos", "q_pos") + n("neg", "q_neg") - n("pos", "q_neg") - n("neg", "q_pos")
     return score_all(asked(h), h, score.cast("long"), 10, False)
 
 
+def fused_integer_topk(spark, sf_dir) -> DataFrame:
+    """64 Hamming + min(64 d2 / rms2, 4096), all in whole numbers; d2 between sketches, the first two components in thousandths, and rms2 the sketches' mean square."""
+    sketch = lambda i: F.floor(F.get("embedding", F.lit(i)).cast("double") * 1000 + 0.5)
+    h = hashed(spark, sf_dir).withColumns({"sx": sketch(0), "sy": sketch(1)}).drop("embedding", "label")
+    rms = h.agg(F.greatest(F.floor(F.sum(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / F.count(F.lit(1))), F.lit(1)).alias("q_rms"))  # one row
+    q = asked(h).crossJoin(F.broadcast(rms))
+    return score_all(q, h, 64 * ham() + F.least(F.expr("64 * ((sx - q_sx) * (sx - q_sx) + (sy - q_sy) * (sy - q_sy)) div q_rms"), F.lit(4096)).cast("long"), 10, True, True)
+
+
 def int8(v: Column) -> Column:
     return F.transform(v, lambda x: F.floor(x.cast("double") * 127 + 0.5).cast("int"))
 
 
 def int8_topk(spark, sf_dir) -> DataFrame:
     """Exact integer products of 8-bit codes."""
-    e = hashed(spark, sf_dir).select("doc_id", int8(F.col("embedding")).alias("code"))
+    e = vectors_of(spark, sf_dir).select("doc_id", int8(F.col("embedding")).alias("code"))
     dot = F.aggregate(F.zip_with("q_code", "code", lambda x, y: x * y), F.lit(0), lambda s, x: s + x).cast("long")
     return score_all(asked(e), e, dot, 10, False, True)
 
 
-# --- product quantisation -----------------------------------------------------------------------------------
-
-
-def _part(v: Column, j: int) -> Column:
-    return F.slice(v, j * WIDTH + 1, WIDTH)
+def int8_l2_topk(spark, sf_dir) -> DataFrame:
+    """Exact integer squared distances of 8-bit codes."""
+    e = vectors_of(spark, sf_dir).select("doc_id", int8(F.col("embedding")).alias("code"))
+    d = F.aggregate(F.zip_with("q_code", "code", lambda x, y: (x - y) * (x - y)), F.lit(0), lambda s, x: s + x).cast("long")
+    return score_all(asked(e), e, d, 10, True, True)
 
 
-def pq_encode(e: DataFrame, book: DataFrame) -> DataFrame:
-    """codes: for each subspace the nearest codeword, the first of equals. book: one row, words[subspace][code], of a fixed size."""
-    near = lambda j: (d := F.transform(F.get("words", F.lit(j)), lambda w: F.round(vectors.l2_sq(_part(F.col("embedding"), j), w), 9)), F.array_position(d, F.array_min(d)).cast("int") - 1)[1]
-    return e.crossJoin(F.broadcast(book)).withColumn("codes", F.array(*(near(j) for j in range(SUBSPACES))))
-
-
-def _book(rows: DataFrame) -> DataFrame:
-    """One row of codewords from rows (sub, code, word): SUBSPACES * CODES of them at most."""
-    subs = rows.groupBy("sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "word"))), lambda s: s["word"]).alias("ws"))
-    return subs.agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "ws"))), lambda s: s["ws"]).alias("words"))
-
-
-def pq_train(spark, sf_dir) -> DataFrame:
-    """sub, code, word after ROUNDS of Lloyd; the first words are vectors 0 to CODES - 1; an empty code goes."""
-    e = hashed(spark, sf_dir).select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    parts = F.array(*(_part(F.col("embedding"), j) for j in range(SUBSPACES)))
-    rows = e.where(F.col("doc_id") < CODES).select(F.col("doc_id").cast("int").alias("code"), F.posexplode(parts).alias("sub", "word"))
-    for _ in range(ROUNDS):
-        coded = pq_encode(e, _book(rows))
-        split = coded.select("embedding", F.posexplode("codes").alias("sub", "code"))
-        mean = F.array(*(F.round(F.avg(F.get("embedding", F.col("sub") * WIDTH + i)), 9) for i in range(WIDTH)))
-        rows = split.groupBy("sub", "code").agg(mean.alias("word"))
-        rows = rows.select("sub", (F.row_number().over(_by_sub()) - 1).alias("code"), "word")
-    return rows
-
-
-def _by_sub():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("sub").orderBy("code")  # CODES rows each
+# --- product quantisation and cells: see quantise.py ----------------------------------------------------------
 
 
 def pq_codebook(spark, sf_dir) -> DataFrame:
-    return pq_train(spark, sf_dir).select("sub", "code", F.posexplode("word").alias("i", "value")).withColumn("value", _r(F.col("value")))
+    book = quantise.train(vectors_of(spark, sf_dir))
+    rows = [(j, c, i, float(x)) for j, sub in enumerate(book) for c, word in enumerate(sub) for i, x in enumerate(word)]
+    return spark.createDataFrame(rows, "sub int, code int, i int, value double").withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 def pq_adc_topk(spark, sf_dir) -> DataFrame:
-    """Asymmetric distance: the query's own vector to each code's words."""
-    e = hashed(spark, sf_dir).select("doc_id", "embedding")
-    coded = pq_encode(e, _book(pq_train(spark, sf_dir)))
-    terms = [vectors.l2_sq(_part(qv(), j), F.get(F.get("words", F.lit(j)), F.get("codes", F.lit(j)))) for j in range(SUBSPACES)]
-    return score_all(asked(e), coded, _r(reduce(lambda a, b: a + b, terms)), 10, True, True)
-
-
-# --- cells ---------------------------------------------------------------------------------------------------
+    """Asymmetric distance of the query's own vector to each code's words."""
+    v = vectors_of(spark, sf_dir)
+    return quantise.adc_topk(v, quantise.train(v), asked(v), 10)
 
 
-def cells(e: DataFrame, id_col: str, v: str, n: int, centres: DataFrame) -> DataFrame:
-    """The n nearest of the CODES centres of every row, as rows with cell; centres: one row, c, of a fixed size."""
-    d = F.transform("c", lambda c, i: F.struct(F.round(vectors.l2_sq(F.col(v), c), 9).alias("d"), i.alias("cell")))
-    return e.crossJoin(F.broadcast(centres)).select(*e.columns, F.explode(F.slice(F.array_sort(d), 1, n)).alias("s")).select(*e.columns, F.col("s.cell").cast("int").alias("cell"))
+def pq_rerank_topk(spark, sf_dir) -> DataFrame:
+    """The pool by asymmetric distance, re-scored by the vectors themselves."""
+    v = vectors_of(spark, sf_dir)
+    near = quantise.adc_topk(v, quantise.train(v), asked(v), POOL).select("query_id", "doc_id")
+    s = near.join(v, "doc_id").join(asked(v).withColumnRenamed("q_id", "query_id"), "query_id").select("query_id", "doc_id", _r(vectors.l2_sq(qv(), dv())).alias("score"))
+    return topk(s, 10, ["query_id"], [F.asc("score"), F.asc("doc_id")])
 
 
-def _centres(e: DataFrame) -> DataFrame:
-    first = e.where(F.col("doc_id") < CODES).agg(F.array_sort(F.collect_list(F.struct("doc_id", "embedding"))).alias("a"))
-    return first.select(F.transform("a", lambda s: s["embedding"]).alias("c"))
+def pq_symmetric_topk(spark, sf_dir) -> DataFrame:
+    """Distance of the codes' words to each other."""
+    v = vectors_of(spark, sf_dir)
+    book = quantise.train(v)
+    c = quantise.coded(v, book)
+    words = quantise.decoded(c, book)
+    return score_all(asked(words), words, _r(vectors.l2_sq(qv(), dv())), 10, True, True)
 
 
 def cell_topk(spark, sf_dir) -> DataFrame:
-    """Inverted file: queries probe their PROBES nearest cells and meet the rows of those alone, by an equi-join."""
-    e = hashed(spark, sf_dir).select("doc_id", "embedding")
-    c = _centres(e)
-    j = cells(asked(e), "q_id", "q_embedding", PROBES, c).join(cells(e, "doc_id", "embedding", 1, c), "cell").where("q_id <> doc_id")
-    return topk(j.select(F.col("q_id").alias("query_id"), "doc_id", _r(vectors.dot(qv(), dv())).alias("score")), 10, ["query_id"], [F.desc("score"), F.asc("doc_id")])
+    """Nearest by squared distance through an inverted file, exact: see quantise.cell_search."""
+    v = vectors_of(spark, sf_dir)
+    return quantise.cell_search(v, asked(v), 10)
 
 
 def cell_gateways(spark, sf_dir) -> DataFrame:
     """Of each cell its size and the row with the least 8-bit norm."""
-    e = hashed(spark, sf_dir).select("doc_id", "embedding")
+    v = vectors_of(spark, sf_dir)
     norm = F.aggregate(F.transform(int8(F.col("embedding")), lambda x: x * x), F.lit(0), lambda s, x: s + x)
-    return cells(e, "doc_id", "embedding", 1, _centres(e)).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.struct(norm, F.col("doc_id"))).alias("gateway"))
+    own = quantise.celled(v, quantise.centres(v), 1)
+    return own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.struct(norm, F.col("doc_id"))).alias("gateway"))
+
+
+def level_codec(spark, sf_dir) -> DataFrame:
+    """A codec of 16 levels for each component: its 16-quantiles' means; each row's error when its components take the nearest level."""
+    e = vectors_of(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    span = e.groupBy("i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    cell = F.least(F.lit(15), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * 16)).cast("int")
+    c = e.join(F.broadcast(span), "i").withColumn("level", F.when(F.col("high") > F.col("low"), cell).otherwise(0))  # two numbers for each component
+    means = c.groupBy("i", "level").agg(F.round(F.avg("x"), 9).alias("mean"))
+    return c.join(F.broadcast(means), ["i", "level"]).groupBy("doc_id").agg(_r(F.sum((F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean")))).alias("error"))  # 16 numbers for each component
 
 
 # --- sets and rankings ---------------------------------------------------------------------------------------
@@ -172,21 +172,19 @@ def cell_gateways(spark, sf_dir) -> DataFrame:
 
 def label_radius(spark, sf_dir) -> DataFrame:
     """Centroid radius: the largest distance of a label's rows to their mean, and how many there are."""
-    e = hashed(spark, sf_dir).select("label", "embedding")
+    e = vectors_of(spark, sf_dir).select("label", "embedding")
     mean = e.groupBy("label").agg(F.array(*(F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(64))).alias("mean"))
     return e.join(mean, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), _r(F.max(F.sqrt(vectors.l2_sq(F.col("embedding"), F.col("mean"))))).alias("radius"))
 
 
 def gram_matrix(spark, sf_dir) -> DataFrame:
-    """Mean products of the first eight components."""
-    at = [(i, j) for i in range(8) for j in range(8)]
-    g = table(spark, sf_dir, "embeddings").agg(F.array(*(F.avg(F.get("embedding", F.lit(i)).cast("double") * F.get("embedding", F.lit(j)).cast("double")) for i, j in at)).alias("g"))
-    return g.select(F.posexplode("g").alias("p", "v")).select(F.floor(F.col("p") / 8).cast("int").alias("i"), (F.col("p") % 8).alias("j"), _r(F.col("v")).alias("value"))
+    """Mean products of every two components, the upper triangle: rows are summed to partial matrices in their tasks first."""
+    return quantise.gram(vectors_of(spark, sf_dir)).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 def rank_agreement(spark, sf_dir) -> DataFrame:
     """Kendall's tau (pairs in order less pairs out of it, ties neither) of dot and Hamming over the ten nearest by dot, and the mean Hamming distance."""
-    near = topk(pairs(spark, sf_dir).where("q_id <> doc_id").select("q_id", "doc_id", _r(vectors.dot(qv(), dv())).alias("s"), bits.hamming(cols(QW), cols(W)).alias("h")), 10, ["q_id"], [F.desc("s"), F.asc("doc_id")])
+    near = topk(pairs(spark, sf_dir).where("q_id <> doc_id").select("q_id", "doc_id", _r(vectors.dot(qv(), dv())).alias("s"), sign_gap().alias("h")), 10, ["q_id"], [F.desc("s"), F.asc("doc_id")])
     a = F.col("a")
     got = near.groupBy(F.col("q_id").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "h"))).alias("a"), _r(F.avg("h")).alias("mean_h"))  # ten each
     tau = F.aggregate(F.transform(a, lambda x: F.aggregate(F.transform(a, lambda y: F.when(y["rank"] > x["rank"], F.signum((y["h"] - x["h"]).cast("double"))).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)), F.lit(0.0), lambda s, v: s + v)
@@ -194,7 +192,7 @@ def rank_agreement(spark, sf_dir) -> DataFrame:
 
 
 R = "round({}, 6) + 0.0"
-PAIR = "t AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, unnest(q.embedding)::DOUBLE AS x, unnest(d.embedding)::DOUBLE AS y FROM embeddings q, embeddings d WHERE q.vec_id < 5), s AS (SELECT query_id, doc_id, sum(x * y) AS dot, sum((x - y) * (x - y)) AS d2, sum(abs(x - y)) AS d1, sum(((x > 0) <> (y > 0))::INT)::BIGINT AS h, sum(x * x) AS xx, sum(y * y) AS yy, sum(floor(x * 127 + 0.5)::INT * floor(y * 127 + 0.5)::INT)::BIGINT AS i8 FROM t GROUP BY ALL)"
+PAIR = "t AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, unnest(q.embedding)::DOUBLE AS x, unnest(d.embedding)::DOUBLE AS y FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0), s AS (SELECT query_id, doc_id, sum(x * y) AS dot, sum((x - y) * (x - y)) AS d2, sum(abs(x - y)) AS d1, sum(((x > 0) <> (y > 0))::INT)::BIGINT AS h, sum(x * x) AS xx, sum(y * y) AS yy, sum(floor(x * 127 + 0.5)::INT * floor(y * 127 + 0.5)::INT)::BIGINT AS i8, sum((floor(x * 127 + 0.5)::INT - floor(y * 127 + 0.5)::INT) ** 2)::BIGINT AS i8d FROM t GROUP BY ALL)"
 
 
 def _top(score: str, way: str, source: str = f"WITH {PAIR} SELECT * FROM s WHERE query_id <> doc_id") -> str:
@@ -203,25 +201,33 @@ def _top(score: str, way: str, source: str = f"WITH {PAIR} SELECT * FROM s WHERE
 
 def _pq_sql() -> str:
     """CTEs: v (components), and after the last round w{ROUNDS} (sub, code, i, value) with codes c{ROUNDS} (id, sub, code)."""
-    out = ["v AS (SELECT vec_id AS id, p // 8 AS sub, p % 8 AS i, x FROM (SELECT vec_id, unnest(range(64))::INT AS p, unnest(embedding)::DOUBLE AS x FROM embeddings))", f"w0 AS (SELECT sub, id::INT AS code, i, x AS value FROM v WHERE id < {CODES})"]
-    for r in range(ROUNDS + 1):
-        out.append(f"c{r} AS (SELECT id, sub, arg_min(code, (d, code)) AS code FROM (SELECT id, v.sub, code, round(sum((x - value) * (x - value)), 9) AS d FROM v JOIN w{r} w ON v.sub = w.sub AND v.i = w.i GROUP BY ALL) GROUP BY ALL)")
-        out.append(f"w{r + 1} AS (SELECT sub, (dense_rank() OVER (PARTITION BY sub ORDER BY code))::INT - 1 AS code, i, value FROM (SELECT v.sub, code, i, round(avg(x), 9) AS value FROM v JOIN c{r} c ON v.id = c.id AND v.sub = c.sub GROUP BY ALL))")
+    k, width = quantise.CODES, quantise.WIDTH
+    out = [f"v AS MATERIALIZED (SELECT vec_id AS id, p // {width} AS sub, p % {width} AS i, x FROM (SELECT vec_id, unnest(range(64))::INT AS p, unnest(embedding)::DOUBLE AS x FROM embeddings))", f"n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings), w0 AS MATERIALIZED (SELECT sub, k::INT AS code, i, x AS value FROM range({k}) g(k) JOIN n ON r = (k * 7919) % n JOIN v USING (id))"]
+    for r in range(quantise.ROUNDS + 1):
+        out.append(f"c{r} AS MATERIALIZED (SELECT id, sub, arg_min(code, (d, code)) AS code FROM (SELECT id, v.sub, code, round(sum((x - value) * (x - value)), 9) AS d FROM v JOIN w{r} w ON v.sub = w.sub AND v.i = w.i GROUP BY ALL) GROUP BY ALL)")
+        if r < quantise.ROUNDS:
+            out.append(f"w{r + 1} AS MATERIALIZED (SELECT sub, code, i, coalesce(m, value) AS value FROM w{r} LEFT JOIN (SELECT v.sub, code, i, round(avg(x), 9) AS m FROM v JOIN c{r} c ON v.id = c.id AND v.sub = c.sub GROUP BY ALL) USING (sub, code, i))")
     return ", ".join(out)
 
 
-CELL = f"n AS (SELECT e.vec_id AS id, c.vec_id::INT AS cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_sum(list_transform(list_zip(e.embedding, c.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9), c.vec_id) AS r FROM embeddings e, embeddings c WHERE c.vec_id < {CODES})"
+LAST = quantise.ROUNDS
+CELL = f"k AS (SELECT count(*) AS n, least({quantise.MOST_CELLS}, ceil(sqrt(count(*))))::BIGINT AS cells FROM embeddings), o AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), c AS (SELECT r // (n // cells) AS cell, embedding FROM o, k WHERE r % (n // cells) = 0 AND r // (n // cells) < cells), n AS (SELECT o.vec_id AS id, cell, row_number() OVER (PARTITION BY o.vec_id ORDER BY round(list_sum(list_transform(list_zip(o.embedding, c.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9), cell) AS r FROM o, c)"
 QUERIES = {
-    "similarity_catalogue": (similarity_catalogue, f"WITH {PAIR} SELECT query_id, doc_id, " + ", ".join(f"{R.format(x)} AS {k}" for k, x in {"dot_product": "dot", "l1_inverse": "1 / (1 + d1)", "spectral": "1 / (1 + sqrt(d2))", "polynomial": "(1 + dot) ** 3", "rbf": "exp(-d2 / 2)", "sigmoid": "tanh(dot)", "sign_agreement": "1 - h / 64.0::DOUBLE", "fidelity": "dot * dot", "serendipity": "0.7::DOUBLE * abs(dot) + 0.3::DOUBLE * sqrt(greatest(0, 1 - dot * dot))", "swap_test": "0.5 + 0.5 * dot * dot", "fused_integer": "64 * h + least(32 * d2, 4096)"}.items()) + " FROM s"),
-    "distribution_distances": (distribution_distances, f"WITH {PAIR}, p AS (SELECT query_id, doc_id, x * x / xx AS x, y * y / yy AS y FROM t JOIN s USING (query_id, doc_id)), o AS (SELECT query_id, doc_id, sum(abs(a - b)) / 64 AS wasserstein FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, unnest(list_sort(q.embedding))::DOUBLE AS a, unnest(list_sort(d.embedding))::DOUBLE AS b FROM embeddings q, embeddings d WHERE q.vec_id < 5) GROUP BY ALL), g AS (SELECT query_id, doc_id, sum(sqrt(x * y)) AS affinity, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2 AS jensen_shannon, sum(CASE WHEN x + y > 0 THEN (x - y) * (x - y) / (x + y) ELSE 0 END) AS chi_square, sum(abs(x - y)) / 2 AS total_variation, ln(sum(x * x)) - ln(sum(y * y)) AS renyi FROM p GROUP BY ALL) SELECT query_id, doc_id, " + ", ".join(f"{R.format(k)} AS {k}" for k in ("affinity", "jensen_shannon", "chi_square", "total_variation", "renyi", "wasserstein")) + " FROM g JOIN o USING (query_id, doc_id)"),
+    "similarity_catalogue": (similarity_catalogue, f"WITH {PAIR} SELECT query_id, doc_id, " + ", ".join(f"{R.format(x)} AS {k}" for k, x in {"dot_product": "dot", "l1_inverse": "1 / (1 + d1)", "spectral": "1 / (1 + sqrt(d2))", "polynomial": "(1 + dot) ** 3", "rbf": "exp(-d2 / 2)", "sigmoid": "tanh(dot)", "sign_agreement": "1 - h / 64.0::DOUBLE", "fidelity": "dot * dot", "serendipity": "0.7::DOUBLE * abs(dot) + 0.3::DOUBLE * sqrt(greatest(0, 1 - dot * dot))", "swap_test": "0.5 + 0.5 * dot * dot", "bures": "sqrt(greatest(0, 2 - 2 * abs(dot)))", "helstrom": "0.5 * (1 - sqrt(greatest(0, 1 - dot * dot)))", "spectral_angle": "acos(greatest(-1, least(1, dot)))"}.items()) + " FROM s"),
+    "distribution_distances": (distribution_distances, f"WITH {PAIR}, p AS (SELECT query_id, doc_id, x * x / xx AS x, y * y / yy AS y FROM t JOIN s USING (query_id, doc_id)), o AS (SELECT query_id, doc_id, sum(abs(a - b)) / 64 AS wasserstein FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, unnest(list_sort(q.embedding))::DOUBLE AS a, unnest(list_sort(d.embedding))::DOUBLE AS b FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0) GROUP BY ALL), g AS (SELECT query_id, doc_id, sum(sqrt(x * y)) AS affinity, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2 AS jensen_shannon, sum(CASE WHEN x + y > 0 THEN (x - y) * (x - y) / (x + y) ELSE 0 END) AS chi_square, sum(abs(x - y)) / 2 AS total_variation, ln(sum(x * x)) - ln(sum(y * y)) AS renyi FROM p GROUP BY ALL) SELECT query_id, doc_id, " + ", ".join(f"{R.format(k)} AS {k}" for k in ("affinity", "jensen_shannon", "chi_square", "total_variation", "renyi", "wasserstein")) + " FROM g JOIN o USING (query_id, doc_id)"),
     "poincare_topk": (poincare_topk, _top(R.format("acosh(1 + 2 * 0.81::DOUBLE * d2 / ((1 - 0.81::DOUBLE * xx) * (1 - 0.81::DOUBLE * yy)))"), "ASC")),
-    "ternary_topk": (ternary_topk, _top("score", "DESC", "WITH z AS (SELECT vec_id, unnest(embedding[1:32]) AS a, unnest(embedding[33:64]) AS b, unnest(range(32)) AS i FROM embeddings), k AS (SELECT vec_id, i, (a > 0)::INT - (b > 0)::INT AS v FROM z) SELECT q.vec_id AS query_id, d.vec_id AS doc_id, sum(q.v * d.v)::BIGINT AS score FROM k q JOIN k d USING (i) WHERE q.vec_id < 5 GROUP BY ALL")),
+    "ternary_topk": (ternary_topk, sql_one("(bit_count((h0 & ~h1) & (q_h0 & ~q_h1)) + bit_count((h1 & ~h0) & (q_h1 & ~q_h0)) - bit_count((h0 & ~h1) & (q_h1 & ~q_h0)) - bit_count((h1 & ~h0) & (q_h0 & ~q_h1)))::BIGINT", "DESC")),
+    "fused_integer_topk": (fused_integer_topk, f"WITH {HASHED}, k AS (SELECT *, floor(embedding[1]::DOUBLE * 1000 + 0.5)::BIGINT AS sx, floor(embedding[2]::DOUBLE * 1000 + 0.5)::BIGINT AS sy, floor(q_embedding[1]::DOUBLE * 1000 + 0.5)::BIGINT AS qx, floor(q_embedding[2]::DOUBLE * 1000 + 0.5)::BIGINT AS qy FROM h, q WHERE q_id <> doc_id), r AS (SELECT greatest(floor(sum(floor(embedding[1]::DOUBLE * 1000 + 0.5) ** 2 + floor(embedding[2]::DOUBLE * 1000 + 0.5) ** 2) / count(*)), 1)::BIGINT AS rms FROM embeddings), s AS (SELECT q_id, doc_id, (64 * {SHAM} + least(64 * ((sx - qx) * (sx - qx) + (sy - qy) * (sy - qy)) // rms, 4096))::BIGINT AS score FROM k, r) SELECT q_id AS query_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score, doc_id)::INT AS rank FROM s QUALIFY rank <= 10"),
     "int8_topk": (int8_topk, _top("i8", "DESC")),
-    "pq_codebook": (pq_codebook, f"WITH {_pq_sql()} SELECT sub, code, i, {R.format('value')} AS value FROM w{ROUNDS}"),
-    "pq_adc_topk": (pq_adc_topk, _top(R.format("d2"), "ASC", f"WITH {_pq_sql()} SELECT v.id AS query_id, c.id AS doc_id, sum((x - value) * (x - value)) AS d2 FROM c{ROUNDS} c JOIN w{ROUNDS} w ON c.sub = w.sub AND c.code = w.code JOIN v ON v.sub = w.sub AND v.i = w.i WHERE v.id < 5 AND v.id <> c.id GROUP BY ALL")),
-    "cell_topk": (cell_topk, _top(R.format("dot"), "DESC", f"WITH {PAIR}, {CELL} SELECT s.* FROM s JOIN n a ON a.id = query_id AND a.r <= {PROBES} JOIN n b ON b.id = doc_id AND b.r = 1 AND a.cell = b.cell WHERE query_id <> doc_id")),
+    "int8_l2_topk": (int8_l2_topk, _top("i8d", "ASC")),
+    "pq_codebook": (pq_codebook, f"WITH {_pq_sql()} SELECT sub, code, i, {R.format('value')} AS value FROM w{LAST}"),
+    "pq_adc_topk": (pq_adc_topk, _top(R.format("d2"), "ASC", f"WITH {_pq_sql()} SELECT v.id AS query_id, c.id AS doc_id, sum((x - value) * (x - value)) AS d2 FROM c{LAST} c JOIN w{LAST} w ON c.sub = w.sub AND c.code = w.code JOIN v ON v.sub = w.sub AND v.i = w.i WHERE v.id % {EVERY} = 0 AND v.id <> c.id GROUP BY ALL")),
+    "pq_rerank_topk": (pq_rerank_topk, f"WITH {_pq_sql()}, {PAIR}, a AS (SELECT v.id AS query_id, c.id AS doc_id, round(sum((x - value) * (x - value)), 6) AS d FROM c{LAST} c JOIN w{LAST} w ON c.sub = w.sub AND c.code = w.code JOIN v ON v.sub = w.sub AND v.i = w.i WHERE v.id % {EVERY} = 0 AND v.id <> c.id GROUP BY ALL), f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) <= {POOL}) SELECT query_id, doc_id, {R.format('d2')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {R.format('d2')}, doc_id)::INT AS rank FROM s JOIN f USING (query_id, doc_id) QUALIFY rank <= 10"),
+    "pq_symmetric_topk": (pq_symmetric_topk, _top(R.format("d2"), "ASC", f"WITH {_pq_sql()}, y AS (SELECT id, w.sub, i, value FROM c{LAST} c JOIN w{LAST} w ON c.sub = w.sub AND c.code = w.code) SELECT a.id AS query_id, b.id AS doc_id, sum((a.value - b.value) * (a.value - b.value)) AS d2 FROM y a JOIN y b USING (sub, i) WHERE a.id % {EVERY} = 0 AND a.id <> b.id GROUP BY ALL")),
+    "cell_topk": (cell_topk, _top(R.format("d2"), "ASC")),
     "cell_gateways": (cell_gateways, f"WITH {CELL} SELECT cell, count(*) AS n, arg_min(id, (norm, id)) AS gateway FROM n JOIN (SELECT vec_id, list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 127 + 0.5)::INT ** 2)) AS norm FROM embeddings) e ON e.vec_id = n.id WHERE r = 1 GROUP BY 1"),
+    "level_codec": (level_codec, f"WITH e AS (SELECT vec_id AS doc_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT *, CASE WHEN max(x) OVER w > min(x) OVER w THEN least(15, floor((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * 16)) ELSE 0 END AS level FROM e WINDOW w AS (PARTITION BY i)), m AS (SELECT i, level, round(avg(x), 9) AS mean FROM c GROUP BY ALL) SELECT doc_id, {R.format('sum((x - mean) * (x - mean))')} AS error FROM c JOIN m USING (i, level) GROUP BY 1"),
     "label_radius": (label_radius, f"WITH v AS (SELECT label, vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM v GROUP BY ALL), d AS (SELECT label, vec_id, sqrt(sum((x - m) * (x - m))) AS d FROM v JOIN m USING (label, i) GROUP BY ALL) SELECT label, count(*) AS n, {R.format('max(d)')} AS radius FROM d GROUP BY 1"),
-    "gram_matrix": (gram_matrix, f"WITH v AS (SELECT vec_id, unnest(range(8))::INT AS i, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings) SELECT a.i, b.i AS j, {R.format('avg(a.x * b.x)')} AS value FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2"),
+    "gram_matrix": (gram_matrix, f"WITH v AS (SELECT vec_id, unnest(range(64))::INT AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT a.i, b.i AS j, {R.format('avg(a.x * b.x)')} AS value FROM v a JOIN v b USING (vec_id) WHERE a.i <= b.i GROUP BY 1, 2"),
     "rank_agreement": (rank_agreement, f"WITH {PAIR}, k AS (SELECT query_id, h, row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 6) DESC, doc_id) AS r FROM s WHERE query_id <> doc_id QUALIFY r <= 10), p AS (SELECT a.query_id, sum(sign(b.h - a.h))::BIGINT AS tau FROM k a JOIN k b ON a.query_id = b.query_id AND b.r > a.r GROUP BY 1), m AS (SELECT query_id, {R.format('avg(h)')} AS mean_h FROM k GROUP BY 1) SELECT query_id, tau, mean_h FROM p JOIN m USING (query_id)"),
 }

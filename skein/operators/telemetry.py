@@ -48,7 +48,7 @@ def asof_join(spark, sf_dir):
 
 
 def threshold_crossing(spark, sf_dir):
-    """Users whose sum of values crosses 5000 between two times."""
+    """Users whose sum of values crosses 1000 between two times."""
     e = events(spark, sf_dir)
     s = e.groupBy("user_id").agg(*(F.round(F.sum(F.when(F.col("ts") <= F.lit(t).cast("timestamp"), F.col("value")).otherwise(0.0)), 3).alias(n) for n, t in (("early", "2024-01-10 00:00:00"), ("late", "2024-01-20 00:00:00"))))
     return s.where("early < 1000 and late >= 1000")
@@ -61,13 +61,6 @@ def trend_labels(spark, sf_dir):
     return c.select("user_id", "change", F.when(F.col("change") > 5, "growing").when(F.col("change") < -5, "shrinking").otherwise("stable").alias("trend"))
 
 
-def telemetry_flags(spark, sf_dir):
-    """A bit for each rule that an event breaks."""
-    rules = [F.col("value") > 90, F.col("event_type") == "error", F.get_json_object("props", "$.k").cast("int") > 50, F.hour("ts") < 6]
-    word = sum((F.when(F.coalesce(r, F.lit(False)), 1 << i).otherwise(0) for i, r in enumerate(rules)), F.lit(0))
-    return events(spark, sf_dir).select("event_id", word.cast("long").alias("flags"))
-
-
 def tumbling_heat(spark, sf_dir):
     e = events(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("heat"))
     return e.select(F.unix_timestamp("w.start").alias("start"), "event_type", "n", "heat")
@@ -105,9 +98,10 @@ def value_regression(spark, sf_dir):
 
 
 def funnel_sets(spark, sf_dir):
-    """Users that viewed and bought but never signed up."""
-    u = {k: events(spark, sf_dir).where(F.col("event_type") == k).select("user_id") for k in ("view", "purchase", "signup")}
-    return u["view"].intersect(u["purchase"]).exceptAll(u["signup"].distinct()).distinct()
+    """Users that viewed and bought but never had an error above 40."""
+    e = events(spark, sf_dir)
+    u = {k: e.where(F.col("event_type") == k).select("user_id") for k in ("view", "purchase")}
+    return u["view"].intersect(u["purchase"]).exceptAll(e.where("event_type = 'error' and value > 40").select("user_id").distinct()).distinct()
 
 
 def order_cube(spark, sf_dir):
@@ -137,14 +131,13 @@ QUERIES = {
     "asof_join": (asof_join, f"WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER ({U} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS view_id FROM events WHERE event_type IN ('purchase', 'view')) SELECT event_id, user_id, view_id FROM e WHERE event_type = 'purchase'"),
     "threshold_crossing": (threshold_crossing, "WITH s AS (SELECT user_id, round(sum(CASE WHEN ts <= TIMESTAMP '2024-01-10' THEN value ELSE 0 END), 3) AS early, round(sum(CASE WHEN ts <= TIMESTAMP '2024-01-20' THEN value ELSE 0 END), 3) AS late FROM events GROUP BY 1) SELECT * FROM s WHERE early < 1000 AND late >= 1000"),
     "trend_labels": (trend_labels, "WITH c AS (SELECT user_id, sum(CASE WHEN ts > TIMESTAMP '2024-01-15' THEN 1 ELSE -1 END)::BIGINT AS change FROM events GROUP BY 1) SELECT *, CASE WHEN change > 5 THEN 'growing' WHEN change < -5 THEN 'shrinking' ELSE 'stable' END AS trend FROM c"),
-    "telemetry_flags": (telemetry_flags, "SELECT event_id, (coalesce((value > 90)::INT, 0) + 2 * coalesce((event_type = 'error')::INT, 0) + 4 * coalesce(((props->>'$.k')::INT > 50)::INT, 0) + 8 * coalesce((hour(ts) < 6)::INT, 0))::BIGINT AS flags FROM events"),
     "tumbling_heat": (tumbling_heat, "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 3) AS heat FROM events GROUP BY 1, 2"),
     "sliding_counts": (sliding_counts, "SELECT s AS start, count(*) AS n FROM (SELECT unnest([epoch(date_trunc('hour', ts))::BIGINT, epoch(date_trunc('hour', ts))::BIGINT - 3600]) AS s FROM events) GROUP BY 1"),
     "session_users": (session_users, f"WITH g AS (SELECT *, (floor(epoch(ts)) - floor(epoch(lag(ts) OVER ({U}))) >= 14400)::INT AS gap FROM events), s AS (SELECT *, coalesce(sum(gap) OVER ({U}), 0)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n, min(event_id) AS low_id FROM s GROUP BY 1, 2"),
     "query_stats_case_avg": (query_stats_case_avg, "SELECT CASE WHEN value < 30 THEN 'small' WHEN value < 70 THEN 'medium' ELSE 'large' END AS size, count(*) AS n, round(avg(CASE WHEN event_type = 'view' THEN value END), 6) AS mean_view, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1"),
     "value_percentiles": (value_percentiles, "WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(CASE WHEN r = least(n * 50 // 100, n - 1) THEN value END) AS p50, max(CASE WHEN r = least(n * 95 // 100, n - 1) THEN value END) AS p95, max(CASE WHEN r = least(n * 99 // 100, n - 1) THEN value END) AS p99 FROM e GROUP BY 1"),
     "value_regression": (value_regression, "SELECT event_type, round(regr_slope(value, floor(epoch(ts)) / 3600.0 - 473352.0), 5) AS slope, round(regr_r2(value, floor(epoch(ts)) / 3600.0 - 473352.0), 5) AS r2 FROM events GROUP BY 1"),
-    "funnel_sets": (funnel_sets, "SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup'"),
+    "funnel_sets": (funnel_sets, "SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 40"),
     "order_cube": (order_cube, "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
     "metadata_join": (metadata_join, "SELECT n_name, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1, 2"),
     "pricing_summary": (pricing_summary, "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import documents, fingerprints, scores, telemetry
+from ..operators import algebra, documents, fingerprints, scores, state, telemetry
 
-QUERIES = fingerprints.QUERIES | scores.QUERIES | documents.QUERIES | telemetry.QUERIES
+QUERIES = fingerprints.QUERIES | algebra.QUERIES | scores.QUERIES | documents.QUERIES | telemetry.QUERIES | state.QUERIES
 
 
 def queries() -> dict:
