@@ -1,4 +1,8 @@
-"""The corpus pipeline: language ID, MinHash near-dedup, substring dedup, mixing and packing, in that order."""
+"""The corpus pipeline: language ID, MinHash near-dedup, substring dedup, mixing and packing, in that order.
+
+Each stage's results for nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns are those of
+its operator: texts without a letter go in the first stage, rows without a doc_id pass the second and third unchanged.
+"""
 
 from __future__ import annotations
 
@@ -35,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens. The copies that mixing made are rows of their own; their pieces share doc_id and start, as stages hand on the columns of documents alone."""
     return digests(pack(docs))
 
 
