@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from ..sources.tables import table
 
 def by_user():
@@ -83,12 +84,26 @@ def query_stats_case_avg(spark, sf_dir):
     return events(spark, sf_dir).groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("event_type") == "view", F.col("value"))), 6).alias("mean_view"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
-def value_percentiles(spark, sf_dir):
-    """The element at floor(n * p / 100) of the sorted values."""
-    w = Window.partitionBy("event_type").orderBy("value")
-    e = events(spark, sf_dir).withColumns({"r": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("event_type"))})
-    at = [F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col("value"))).alias(f"p{p}") for p in (50, 95, 99)]
-    return e.groupBy("event_type").agg(*at)
+def value_percentiles(spark, sf_dir, at=(50, 95, 99)):
+    """The element at floor(n * p / 100) of each type's sorted values. Rows are sorted in ranges and written once; the counts of
+    ranges say in which range, and where in it, each element stands, so no task sees a whole type."""
+    e = events(spark, sf_dir).where("event_type is not null and value is not null").select("event_type", "value")
+    r = e.repartitionByRange("event_type", "value").sortWithinPartitions("event_type", "value")
+    r = scratch.staged(r.withColumns({"part": F.spark_partition_id(), "seat": F.monotonically_increasing_id() % (1 << 33)}), "ranges")
+    held = sorted(map(tuple, r.groupBy("event_type", "part").agg(F.count(F.lit(1)), F.min("seat")).collect()))  # a row for each range of a type
+    wanted = []
+    for kind in sorted({h[0] for h in held}):
+        own = [h for h in held if h[0] == kind]
+        n = sum(h[2] for h in own)
+        for p in at:
+            k = min(n * p // 100, n - 1)
+            for _, part, rows, first in own:
+                if k < rows:
+                    wanted.append((kind, p, part, first + k))
+                    break
+                k -= rows
+    w = spark.createDataFrame(wanted, "event_type string, p int, part int, seat long")
+    return r.join(F.broadcast(w), ["event_type", "part", "seat"]).groupBy("event_type").agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in at))  # three rows a type
 
 
 def value_regression(spark, sf_dir):
@@ -135,7 +150,7 @@ QUERIES = {
     "sliding_counts": (sliding_counts, "SELECT s AS start, count(*) AS n FROM (SELECT unnest([epoch(date_trunc('hour', ts))::BIGINT, epoch(date_trunc('hour', ts))::BIGINT - 3600]) AS s FROM events) GROUP BY 1"),
     "session_users": (session_users, f"WITH g AS (SELECT *, (floor(epoch(ts)) - floor(epoch(lag(ts) OVER ({U}))) >= 14400)::INT AS gap FROM events), s AS (SELECT *, coalesce(sum(gap) OVER ({U}), 0)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n, min(event_id) AS low_id FROM s GROUP BY 1, 2"),
     "query_stats_case_avg": (query_stats_case_avg, "SELECT CASE WHEN value < 30 THEN 'small' WHEN value < 70 THEN 'medium' ELSE 'large' END AS size, count(*) AS n, round(avg(CASE WHEN event_type = 'view' THEN value END), 6) AS mean_view, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1"),
-    "value_percentiles": (value_percentiles, "WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(CASE WHEN r = least(n * 50 // 100, n - 1) THEN value END) AS p50, max(CASE WHEN r = least(n * 95 // 100, n - 1) THEN value END) AS p95, max(CASE WHEN r = least(n * 99 // 100, n - 1) THEN value END) AS p99 FROM e GROUP BY 1"),
+    "value_percentiles": (value_percentiles, "WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL) SELECT event_type, max(CASE WHEN r = least(n * 50 // 100, n - 1) THEN value END) AS p50, max(CASE WHEN r = least(n * 95 // 100, n - 1) THEN value END) AS p95, max(CASE WHEN r = least(n * 99 // 100, n - 1) THEN value END) AS p99 FROM e GROUP BY 1"),
     "value_regression": (value_regression, "SELECT event_type, round(regr_slope(value, floor(epoch(ts)) / 3600.0 - 473352.0), 5) AS slope, round(regr_r2(value, floor(epoch(ts)) / 3600.0 - 473352.0), 5) AS r2 FROM events GROUP BY 1"),
     "funnel_sets": (funnel_sets, "SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 40"),
     "order_cube": (order_cube, "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
