@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 M = (1 << 64) - 1
 #: The token hash's multiplier, which is also the generator's step, and the generator's two multipliers.
@@ -109,7 +110,7 @@ def seed_words(text: str) -> tuple[int, int]:
     return int(w[0]), int(w[1])
 
 
-@F.udf("long")
+@F.udf(LongType())
 def fnv1a(data: bytes) -> int:
     """FNV-1a of bytes, as a signed number. For small inputs such as fingerprints."""
     h = fnv1(bytes(data), True)

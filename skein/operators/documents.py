@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import scratch
@@ -40,18 +40,18 @@ def let(x: Column, use) -> Column:
     return F.transform(F.array(x), use)[0]
 
 
-def counted(text: Column) -> Column:
-    """term and tf of each distinct term, within the row: runs of the sorted terms. Nothing is shuffled for it."""
+def counted(t: Column) -> Column:
+    """term and tf of each distinct term of an array, within the row: runs of the sorted terms. Nothing is shuffled for it."""
 
     def runs(s: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         return let(at, lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).cast("long").alias("tf"))))
 
-    return let(F.sort_array(terms(text)), lambda s: F.when(F.size(s) > 0, runs(s)))
+    return let(F.sort_array(t), lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
 def postings(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.explode(counted(F.col("text"))).alias("p")).select("doc_id", "p.term", "p.tf")
+    return docs(spark, sf_dir).select("doc_id", F.explode(counted(terms(F.col("text")))).alias("p")).select("doc_id", "p.term", "p.tf")
 
 
 def token_df(spark, sf_dir):
@@ -66,15 +66,15 @@ def wanted(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, weight):
-    """The 10 best of each query. Only the query terms' postings leave the scan, which also counts documents and their lengths."""
-    seen = Observation()
-    d = docs(spark, sf_dir).select("doc_id", F.size(terms(F.col("text"))).cast("long").alias("dl"), counted(F.col("text")).alias("p"))
-    d = d.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.greatest("dl", F.lit(0))).alias("all_dl"))
-    p = d.select("doc_id", "dl", F.explode("p").alias("p")).select("doc_id", "dl", "p.term", "p.tf")
+    """The 10 best of each query. Only the query terms' postings leave the scan; another counts documents and their lengths."""
+    text = F.col("text")
+    n, all_dl = docs(spark, sf_dir).agg(F.count(F.lit(1)), F.sum(F.greatest(F.size(terms(text)), F.lit(0)))).first()
+    n, all_dl = float(max(n, 1)), float(max(all_dl or 0, 1))
+    d = docs(spark, sf_dir).select("doc_id", let(terms(text), lambda t: F.struct(F.size(t).cast("double").alias("dl"), counted(t).alias("p"))).alias("d"))
+    p = d.select("doc_id", F.col("d.dl").alias("dl"), F.explode("d.p").alias("p")).select("doc_id", "dl", "p.term", "p.tf")
     hits = scratch.staged(p.join(wanted(spark, sf_dir), "term"), "hits")  # Spark broadcasts the terms while their size allows
-    n, all_dl = float(seen.get["n"]), float(seen.get["all_dl"] or 0)
     df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    h = hits.join(df, ["query_id", "term"]).withColumns({"n": F.lit(n), "all_dl": F.lit(all_dl), "dl": F.col("dl").cast("double")})
+    h = hits.join(df, ["query_id", "term"]).withColumns({"n": F.lit(n), "all_dl": F.lit(all_dl)})
     return topk(h.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score")), 10, ["query_id"], [F.desc("score"), F.asc("doc_id")])
 
 
@@ -234,7 +234,7 @@ def anchor_masks(spark, sf_dir):
 
 def semantic_bypass(spark, sf_dir):
     """Texts that need no meaning: fewer than 12 terms, or term entropy below 3 bits."""
-    d = docs(spark, sf_dir).select("doc_id", F.greatest(F.size(terms(F.col("text"))), F.lit(0)).alias("n"), counted(F.col("text")).alias("p"))
+    d = docs(spark, sf_dir).select("doc_id", F.greatest(F.size(terms(F.col("text"))), F.lit(0)).alias("n"), counted(terms(F.col("text"))).alias("p"))
     share = lambda x: x["tf"] / F.col("n")
     entropy = F.round(F.coalesce(F.aggregate("p", F.lit(0.0), lambda s, x: s - share(x) * F.log2(share(x))), F.lit(0.0)), 6) + F.lit(0.0)
     return d.select("doc_id", F.col("n").cast("long").alias("n"), entropy.alias("entropy")).withColumn("bypass", (F.col("n") < 12) | (F.col("entropy") < 3))

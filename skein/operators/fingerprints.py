@@ -89,7 +89,10 @@ def fingerprints(spark, sf_dir):
 def itq_encode(spark, sf_dir):
     """Sign bits after the corpus mean is taken off; the mean is one number for each component."""
     v = vectors_of(spark, sf_dir)
-    dim = v.where("embedding is not null").select(F.size("embedding")).first()[0]
+    first = v.where("embedding is not null").select(F.size("embedding")).first()
+    if first is None:
+        return encode.encoded(v).select("doc_id", *W)
+    dim = first[0]
     mean = v.agg(F.array(*(F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 9) for i in range(dim)))).first()[0]
     import numpy as np
 

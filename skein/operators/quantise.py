@@ -59,6 +59,7 @@ def nearest_code(x: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def numbered(v: DataFrame, wanted: Callable[[int], list[int]], cells: int = 65_536) -> np.ndarray:
     """The vectors whose places in the order of doc_id are wanted(number of rows), in that order: counts of equal ranges of doc_id say which ranges hold them, and only those are numbered."""
+    v = v.where("embedding is not null")
     n, low, high = v.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
     places = wanted(n) if n else []
     if not places:

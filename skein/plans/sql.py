@@ -35,7 +35,7 @@ class _AnnSearch:
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Views of the folder's tables, the SQL functions dot_product, cosine_of and hamming_of, and the table function
 
-    ann_search(TABLE(SELECT vec_id, embedding FROM embeddings) PARTITION BY vec_id % 8, query, k), whose rows (vec_id, score) want a last ORDER BY ... LIMIT k."""
+    ann_search(TABLE(SELECT vec_id, embedding FROM embeddings) PARTITION BY (vec_id % 8), query, k), whose rows (vec_id, score) want a last ORDER BY ... LIMIT k."""
     for t in TABLES:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
     total = "aggregate(zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
