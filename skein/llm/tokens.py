@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from . import common
 
 #: What a Python worker keeps; the rest is encoded anew in each chunk.
-CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 300_000, 300_000, 48
+CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 200_000, 200_000, 48
 #: Bytes of text that are encoded at a time, or one text; words that are put together at a time.
-CHUNK_BYTES, CHUNK_WORDS = 8 << 20, 1 << 18
+CHUNK_BYTES, CHUNK_WORDS = 2 << 20, 1 << 18
 #: Pieces that are encoded as one string.
 JOINED = 512
 #: What the vocabulary ends a piece's last token with (a fixed value).
