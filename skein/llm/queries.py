@@ -15,6 +15,8 @@ from .op7_language import op7_language
 from .op8_ordinal import op8_ordinal
 from .op9_weighted_minhash import op9_weighted_minhash
 from .op10_token_store import op10_token_store
+from .op11_whitening import op11_whitening
+from .op12_repair import op12_repair
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,8 @@ def queries() -> dict:
         "op8_ordinal": op8_ordinal,
         "op9_weighted_minhash": op9_weighted_minhash,
         "op10_token_store": op10_token_store,
+        "op11_whitening": op11_whitening,
+        "op12_repair": op12_repair,
         "pipeline": pipeline,
     }
 
