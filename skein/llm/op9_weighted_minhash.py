@@ -24,7 +24,7 @@ compared whole, as one row; an empty table gives an empty table; other columns a
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,12 +108,12 @@ def bands(sample: np.ndarray) -> np.ndarray:
 # --- steps 1 and 2 -----------------------------------------------------------------------------------------
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, words: Callable = common.words) -> DataFrame:
     """doc_id and digest of the words (null without words) of each row with a doc_id."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [b" ".join(common.words(t.as_py())) for t in b.column(1)]
+            got = [b" ".join(words(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(g) if g else None for g in got], pa.binary())], ["doc_id", "digest"])
 
     return docs.mapInArrow(run, "doc_id long, digest binary")
@@ -122,7 +122,7 @@ def digests(docs: DataFrame) -> DataFrame:
 class Texts:
     """The distinct texts of a batch: smallest doc_id, number of copies, and words."""
 
-    def __init__(self, blobs):
+    def __init__(self, blobs, shingled: Callable = shingles):
         found: dict[bytes, list] = {}
         z = zstandard.ZstdDecompressor()
         for blob in blobs:
@@ -133,17 +133,18 @@ class Texts:
                 else:
                     have[1], have[2] = min(have[1], first), have[2] + copies
         rows = sorted(found.values(), key=lambda r: r[1])
+        self.shingled = shingled
         self.text, self.id, self.copies = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
         self._shingles = None
 
     def shingles(self) -> list[tuple[np.ndarray, np.ndarray]]:
         if self._shingles is None:
             hashed = common.word_hash()
-            self._shingles = [shingles(hashed.array(t.split(b" "))) for t in self.text]
+            self._shingles = [self.shingled(hashed.array(t.split(b" "))) for t in self.text]
         return self._shingles
 
 
-def packed_texts(docs: DataFrame, n_batches: int) -> DataFrame:
+def packed_texts(docs: DataFrame, n_batches: int, words: Callable = common.words) -> DataFrame:
     """(batch, blob): each chunk's distinct texts, dealt by digest. Copies are counted before the shuffle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def packed_texts(docs: DataFrame, n_batches: int) -> DataFrame:
         for b in it:
             found: dict[bytes, list] = {}
             for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = b" ".join(common.words(t.as_py()))
+                text = b" ".join(words(t.as_py()))
                 if not text:
                     continue
                 digest = xxhash.xxh3_128_digest(text)
@@ -298,15 +299,15 @@ class Clusters:
 LINKS = "a long, b long"
 
 
-def links(members: DataFrame, vectors: DataFrame, n_docs: int, threshold: float, block_bytes: int, block_rows: int) -> DataFrame:
-    """members: doc, bands, component; vectors: doc, vector, both staged. Returns links (a, b) that connect the texts of each class."""
+def links(members: DataFrame, vectors: DataFrame, n_docs: int, threshold: float, block_bytes: int, block_rows: int, kind: type = Clusters) -> DataFrame:
+    """members: doc, bands, component; vectors: doc, vector, both staged; kind compares them. Returns links (a, b) that connect the texts of each class."""
     sized = members.join(vectors.select("doc", F.length("vector").alias("bytes")), "doc")
     total = sized.groupBy("component").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     blocks = F.greatest(F.ceil(F.col("bytes") / block_bytes), F.ceil(F.col("n") / block_rows)).cast("int").alias("blocks")
     members = common.staged(members.join(total.select("component", blocks), "component").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "near-members")
 
     def clusters(t: pa.Table) -> Clusters:
-        return Clusters(list(zip(t["doc"].to_pylist(), t["vector"].to_pylist(), t["cluster"].to_pylist(), strict=True)), n_docs, threshold)
+        return kind(list(zip(t["doc"].to_pylist(), t["vector"].to_pylist(), t["cluster"].to_pylist(), strict=True)), n_docs, threshold)
 
     def within(t: pa.Table) -> pa.Table:
         ids = t["doc"].to_pylist()

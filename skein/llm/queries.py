@@ -17,6 +17,7 @@ from .op9_weighted_minhash import op9_weighted_minhash
 from .op10_token_store import op10_token_store
 from .op11_whitening import op11_whitening
 from .op12_repair import op12_repair
+from .op13_prefix_join import op13_prefix_join
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,7 @@ def queries() -> dict:
         "op10_token_store": op10_token_store,
         "op11_whitening": op11_whitening,
         "op12_repair": op12_repair,
+        "op13_prefix_join": op13_prefix_join,
         "pipeline": pipeline,
     }
 
