@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -60,19 +61,19 @@ def encoded(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, tuple] = {}
         for b in batches:
-            vectors = b.column(kept.index(column)).to_pylist()
-            out = [[None] * b.num_rows for _ in WORDS]
-            by: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                if v and None not in v:
-                    by.setdefault(len(v), []).append(i)
-            for dim, rows in by.items():
+            vectors = b.column(kept.index(column))
+            length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+            out, told = np.zeros((b.num_rows, len(WORDS)), np.int64), np.zeros(b.num_rows, bool)
+            for dim in np.unique(length[length > 0]).tolist():
                 mean, p = shared.value or made.setdefault(dim, (np.zeros(dim), projection(dim)))
-                if len(mean) == dim:
-                    for i, words in zip(rows, packed(np.array([vectors[i] for i in rows], np.float64), mean, p, at_zero).tolist(), strict=True):
-                        for k, w in enumerate(words):
-                            out[k][i] = w
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(o, pa.int64()) for o in out)], [*kept, *WORDS])
+                if len(mean) != dim:
+                    continue
+                rows = np.flatnonzero(length == dim)
+                flat = vectors.take(pa.array(rows)).flatten()
+                whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(axis=1)
+                x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)[whole]
+                out[rows[whole]], told[rows[whole]] = packed(x, mean, p, at_zero), True
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(out[:, k], mask=~told) for k in range(len(WORDS)))], [*kept, *WORDS])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *(StructField(w, LongType()) for w in WORDS)]))
 

@@ -4,12 +4,14 @@ The stated queries are the rows whose id is divisible by 20; every row is a cand
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, encode, vectors
 from ..sources.tables import table
-from .topk import asked_in_blocks, score_all, topk
+from . import tiles
+from .topk import asked_in_blocks, topk
 
 W = encode.WORDS
 QW = [f"q_{w}" for w in W]
@@ -34,14 +36,24 @@ def asked(h: DataFrame) -> DataFrame:
     return h.where(F.col("doc_id") % EVERY == 0).select(*(F.col(c).alias(f"q_{c}" if c != "doc_id" else "q_id") for c in h.columns))
 
 
-def search(score, k, ascending, exclude_self=False, words=True):
+def search(score, k, ascending, exclude_self=False, words=True, whole=False):
+    """The k best rows of every stated query by a score of tiles.py, of words or of vectors; whole: the score is a whole number."""
+
     def run(spark, sf_dir):
-        h = hashed(spark, sf_dir).drop("embedding") if words else vectors_of(spark, sf_dir)
-        return score_all(asked(h), h, score(), k, ascending, exclude_self)
+        v = tiles.usable(vectors_of(spark, sf_dir).select("doc_id", "embedding"))
+        side = (lambda df: tiles.word_columns(encode.encoded(df))) if words else (lambda df: df)
+        out = tiles.nearest(side(v), side(v.where(F.col("doc_id") % EVERY == 0)), k, score, ascending, exclude_self, vectors_of(spark, sf_dir).count())
+        return out.withColumn("score", F.col("score").cast("long")) if whole else out
 
     return run
 
 
+def sides(near, rows):
+    """near's query_id and doc_id with the columns of rows for both: plain and q_*."""
+    near = near.select(F.col("query_id").alias("q_id"), "doc_id").distinct()
+    return near.join(rows, "doc_id").join(asked(rows), "q_id")
+
+
 def _round(x):
     return F.round(x, 6)
 
@@ -58,18 +70,18 @@ def dot():
     return _round(vectors.dot(F.col("q_embedding"), F.col("embedding")))
 
 
-cosine_topk = search(lambda: _round(vectors.cosine(F.col("q_embedding"), F.col("embedding"))), 10, False, words=False)
-dot_topk = search(dot, 10, False, True, words=False)
-l2_topk = search(lambda: _round(vectors.l2_sq(F.col("q_embedding"), F.col("embedding"))), 10, True, words=False)
-l1_topk = search(lambda: _round(vectors.l1(F.col("q_embedding"), F.col("embedding"))), 10, True, words=False)
-hamming_topk = search(ham, 10, True)
-hamming_topk_exclude_self = search(ham, 10, True, True)
-hamming_score_topk = search(lambda: 1 - ham() / 512.0, 10, False)
-hamming_128_topk = search(lambda: bits.hamming(cols(QW[:2]), cols(W[:2])), 10, True)
-pap_similarity_topk = search(pap, 10, False)
-pap_similarity_128_topk = search(lambda: _round(bits.pap_sim(cols(QW[:2]), cols(W[:2]))), 10, False)
-pap_distance_topk = search(lambda: _round(bits.pap_dist(cols(QW), cols(W))), 10, True)
-direct_top1 = search(pap, 1, False)
+cosine_topk = search(tiles.rounded(tiles.cosine), 10, False, words=False)
+dot_topk = search(tiles.rounded(tiles.dot), 10, False, True, words=False)
+l2_topk = search(tiles.rounded(tiles.l2_sq), 10, True, words=False)
+l1_topk = search(tiles.rounded(tiles.l1), 10, True, words=False)
+hamming_topk = search(tiles.hamming, 10, True, whole=True)
+hamming_topk_exclude_self = search(tiles.hamming, 10, True, True, whole=True)
+hamming_score_topk = search(lambda q, x: 1 - tiles.hamming(q, x) / 512, 10, False)
+hamming_128_topk = search(tiles.first_words(tiles.hamming), 10, True, whole=True)
+pap_similarity_topk = search(tiles.rounded(tiles.pap_similarity), 10, False)
+pap_similarity_128_topk = search(tiles.first_words(tiles.rounded(tiles.pap_similarity)), 10, False)
+pap_distance_topk = search(tiles.rounded(tiles.pap_distance), 10, True)
+direct_top1 = search(tiles.rounded(tiles.pap_similarity), 1, False)
 
 
 def pairs(spark, sf_dir, embedding=True):
@@ -101,38 +113,36 @@ def itq_encode(spark, sf_dir):
 
 def prefix_filter_topk(spark, sf_dir):
     """The nearest by the first 128 bits, then the 10 nearest of them by all."""
-    p = pairs(spark, sf_dir, False).withColumns({"coarse": bits.hamming(cols(QW[:2]), cols(W[:2])), "score": ham()})
-    near = topk(p, PREFIX_POOL, ["q_id"], [F.asc("coarse"), F.asc("doc_id")], "r")
-    return _named(topk(near, 10, ["q_id"], [F.asc("score"), F.asc("doc_id")]))
+    near = search(tiles.first_words(tiles.hamming), PREFIX_POOL, True)(spark, sf_dir)
+    return _named(topk(sides(near, hashed(spark, sf_dir).select("doc_id", *W)).withColumn("score", ham()), 10, ["q_id"], [F.asc("score"), F.asc("doc_id")]))
 
 
 def rerank(spark, sf_dir, pool=POOL, k=10):
     """The pool of nearest fingerprints, re-scored by dot product."""
-    p = pairs(spark, sf_dir).where("q_id <> doc_id").withColumn("h", ham())
-    near = topk(p, pool, ["q_id"], [F.asc("h"), F.asc("doc_id")], "r").withColumn("score", dot())
-    return _named(topk(near, k, ["q_id"], [F.desc("score"), F.asc("doc_id")]))
+    near = search(tiles.hamming, pool, True, True)(spark, sf_dir)
+    return _named(topk(sides(near, vectors_of(spark, sf_dir)).withColumn("score", dot()), k, ["q_id"], [F.desc("score"), F.asc("doc_id")]))
 
 
 def cosine_rerank(spark, sf_dir):
     """The two-tier form: 100 by Hamming, self included, the 10 best of them by cosine."""
-    p = pairs(spark, sf_dir).withColumn("h", ham())
-    near = topk(p, 100, ["q_id"], [F.asc("h"), F.asc("doc_id")], "r").withColumn("score", _round(vectors.cosine(F.col("q_embedding"), F.col("embedding"))))
-    return _named(topk(near, 10, ["q_id"], [F.desc("score"), F.asc("doc_id")]))
+    near = search(tiles.hamming, 100, True)(spark, sf_dir)
+    s = sides(near, vectors_of(spark, sf_dir)).withColumn("score", _round(vectors.cosine(F.col("q_embedding"), F.col("embedding"))))
+    return _named(topk(s, 10, ["q_id"], [F.desc("score"), F.asc("doc_id")]))
 
 
 def three_stage(spark, sf_dir):
     """First 128 bits, then all, then squared distance: each stage scores what the one before left."""
-    p = pairs(spark, sf_dir).where("q_id <> doc_id").withColumn("coarse", bits.hamming(cols(QW[:2]), cols(W[:2])))
-    a = topk(p, PREFIX_POOL, ["q_id"], [F.asc("coarse"), F.asc("doc_id")], "r1").withColumn("fine", ham())
-    b = topk(a, POOL, ["q_id"], [F.asc("fine"), F.asc("doc_id")], "r2").withColumn("score", _round(vectors.l2_sq(F.col("q_embedding"), F.col("embedding"))))
-    return _named(topk(b, 10, ["q_id"], [F.asc("score"), F.asc("doc_id")]))
+    a = search(tiles.first_words(tiles.hamming), PREFIX_POOL, True, True)(spark, sf_dir)
+    b = topk(sides(a, hashed(spark, sf_dir).drop("label")).withColumn("fine", ham()), POOL, ["q_id"], [F.asc("fine"), F.asc("doc_id")], "r")
+    return _named(topk(b.withColumn("score", _round(vectors.l2_sq(F.col("q_embedding"), F.col("embedding")))), 10, ["q_id"], [F.asc("score"), F.asc("doc_id")]))
 
 
 def unified_bypass(spark, sf_dir):
     """Queries of an even tenth are answered by fingerprints alone; the rest are re-scored by dot product, where id 0 counts as missing."""
-    near = topk(pairs(spark, sf_dir).withColumn("h", ham()), POOL, ["q_id"], [F.asc("h"), F.asc("doc_id")], "r")
+    near = search(tiles.hamming, POOL, True)(spark, sf_dir)
+    h = near.select(F.col("query_id").alias("q_id"), "doc_id", F.col("score").alias("h")).distinct()
     bypass = F.col("q_id") % (2 * EVERY) == 0
-    s = near.where(bypass | (F.col("doc_id") != 0)).withColumn("score", F.when(bypass, 1 - F.col("h") / 512.0).otherwise(dot()))
+    s = sides(near, vectors_of(spark, sf_dir)).join(h, ["q_id", "doc_id"]).where(bypass | (F.col("doc_id") != 0)).withColumn("score", F.when(bypass, 1 - F.col("h") / 512.0).otherwise(dot()))
     return _named(topk(s, 10, ["q_id"], [F.desc("score"), F.asc("doc_id")]))
 
 
@@ -198,9 +208,8 @@ def bucket_exact(spark, sf_dir):
 
 def hybrid_topk(spark, sf_dir):
     """The pool by 128-bit similarity, re-scored by 512-bit similarity."""
-    p = pairs(spark, sf_dir, False).withColumns({"coarse": _round(bits.pap_sim(cols(QW[:2]), cols(W[:2]))), "score": pap()})
-    near = topk(p, POOL, ["q_id"], [F.desc("coarse"), F.asc("doc_id")], "r")
-    return _named(topk(near, 10, ["q_id"], [F.desc("score"), F.asc("doc_id")]))
+    near = search(tiles.first_words(tiles.rounded(tiles.pap_similarity)), POOL, False)(spark, sf_dir)
+    return _named(topk(sides(near, hashed(spark, sf_dir).select("doc_id", *W)).withColumn("score", pap()), 10, ["q_id"], [F.desc("score"), F.asc("doc_id")]))
 
 
 def auto_merge(spark, sf_dir):
@@ -227,24 +236,23 @@ def multi_probe(spark, sf_dir):
 
 def multi_index(spark, sf_dir):
     """The 20 nearest by each of three ranges of words, united; the 10 nearest of them by all bits."""
-    p = pairs(spark, sf_dir, False).withColumn("score", ham())
-    united = None
-    for a, b in ((0, 3), (3, 6), (6, 8)):
-        near = topk(p.withColumn("part", bits.hamming(cols(QW[a:b]), cols(W[a:b]))), 20, ["q_id"], [F.asc("part"), F.asc("doc_id")], "r").select("q_id", "doc_id", "score")
-        united = near if united is None else united.unionByName(near)
-    return _named(topk(united.distinct(), 10, ["q_id"], [F.asc("score"), F.asc("doc_id")]))
+    ranges = [lambda q, x, a=a, b=b: tiles.hamming(q[:, a:b], x[:, a:b]) for a, b in ((0, 3), (3, 6), (6, 8))]
+    near = [search(score, 20, True)(spark, sf_dir) for score in ranges]
+    s = sides(near[0].unionByName(near[1]).unionByName(near[2]), hashed(spark, sf_dir).select("doc_id", *W)).withColumn("score", ham())
+    return _named(topk(s, 10, ["q_id"], [F.asc("score"), F.asc("doc_id")]))
 
 
 def graph_diffusion(spark, sf_dir):
     """The 5 nearest and the 5 nearest of each of those: candidates, the 10 best by similarity."""
-    h = hashed(spark, sf_dir).drop("embedding")
-    near = score_all(asked(h), h, ham(), 5, True, True)
-    seeds = near.select("query_id", F.col("doc_id").alias("seed"))
-    again = h.join(seeds.select(F.col("seed").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*(F.col(c).alias(f"q_{c}" if c != "doc_id" else "q_id") for c in h.columns))
-    hops = seeds.join(score_all(again, h, ham(), 5, True, True).select(F.col("query_id").alias("seed"), "doc_id"), "seed").select("query_id", "doc_id")
-    c = near.select("query_id", "doc_id").unionByName(hops).where("query_id <> doc_id").distinct()
-    s = c.join(h, "doc_id").join(asked(h).withColumnRenamed("q_id", "query_id"), "query_id").select("query_id", "doc_id", pap().alias("score"))
-    return topk(s, 10, ["query_id"], [F.desc("score"), F.asc("doc_id")])
+    words = tiles.word_columns(encode.encoded(tiles.usable(vectors_of(spark, sf_dir).select("doc_id", "embedding"))))
+    near = hamming_5(spark, sf_dir).select("query_id", F.col("doc_id").alias("seed"))
+    again = tiles.nearest(words, words.join(near.select(F.col("seed").alias("doc_id")).distinct(), "doc_id", "left_semi"), 5, tiles.hamming, True, True)
+    hops = near.join(again.select(F.col("query_id").alias("seed"), "doc_id"), "seed").select("query_id", "doc_id")
+    c = near.select("query_id", F.col("seed").alias("doc_id")).unionByName(hops).where("query_id <> doc_id")
+    return _named(topk(sides(c, words).withColumn("score", pap()), 10, ["q_id"], [F.desc("score"), F.asc("doc_id")]))
+
+
+hamming_5 = search(tiles.hamming, 5, True, True)
 
 
 def bit_meet_join(spark, sf_dir):
@@ -270,38 +278,39 @@ def bit_counters(spark, sf_dir):
 
 def bridge_best(spark, sf_dir):
     """For each stated query and the next one, the row that is near both and equally so: least min(da, db) + |da - db| of pap() distances."""
-    h = hashed(spark, sf_dir).drop("embedding", "label")
+    h = hashed(spark, sf_dir).select("doc_id", *W).where("h0 is not null")
     q = asked(h)
-    nxt = q.select((F.col("q_id") - EVERY).alias("q_id"), *(F.col(w).alias(f"n_{w}") for w in QW))
-    p = asked_in_blocks(h, q.join(nxt, "q_id")).where(f"doc_id <> q_id and doc_id <> q_id + {EVERY}")
-    p = p.select("q_id", "doc_id", bits.pap_dist(cols(QW), cols(W)).alias("da"), bits.pap_dist(cols([f"n_{w}" for w in QW]), cols(W)).alias("db")).withColumn("score", _round(F.least("da", "db") + F.abs(F.col("da") - F.col("db"))))
-    return topk(p, 1, ["q_id"], [F.asc("score"), F.asc("doc_id")]).select(F.col("q_id").alias("query_id"), "doc_id", "score")
+    pair = q.join(q.select((F.col("q_id") - EVERY).alias("q_id"), *(F.col(w).alias(f"n_{w}") for w in QW)), "q_id")
+
+    def score(q, x):
+        a, b = tiles.pap_distance(q[:, :8], x), tiles.pap_distance(q[:, 8:], x)
+        return np.round(np.minimum(a, b) + np.abs(a - b), 6)
+
+    # the next query's own row is left out as well: of the two best at least one is another
+    near = tiles.nearest(h, pair, 2, score, True, True, vectors_of(spark, sf_dir).count()).where(f"doc_id <> query_id + {EVERY}").drop("rank")
+    return topk(near, 1, ["query_id"], [F.asc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score")
 
 
 def gap_best(spark, sf_dir):
     """The row with the largest product of its pap() distances to the query and to the query's complement."""
-    other = [F.bitwise_not(F.col(w)) for w in QW]
-    p = pairs(spark, sf_dir, False).withColumn("score", _round(bits.pap_dist(cols(QW), cols(W)) * bits.pap_dist(other, cols(W))))
-    return topk(p, 1, ["q_id"], [F.desc("score"), F.asc("doc_id")]).select(F.col("q_id").alias("query_id"), "doc_id", "score")
+    return search(lambda q, x: np.round(tiles.pap_distance(q, x) * tiles.pap_distance(~q, x), 6), 1, False)(spark, sf_dir).select("query_id", "doc_id", "score")
 
 
-def wedge(a, b):
+def wedge(q, x):
     """(Hamming - shared bits) over the larger count, held within -1 and 1; 0 for equal or empty sides."""
-    most = F.greatest(bits.popcount(a), bits.popcount(b))
-    raw = (bits.hamming(a, b) - bits.both(a, b)) / most
-    return F.when((bits.hamming(a, b) == 0) | (most == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
+    apart, most = tiles.hamming(q, x), np.maximum(tiles.sizes(q)[:, None], tiles.sizes(x))
+    return np.where((apart == 0) | (most == 0), 0.0, np.clip((apart - tiles.shared(q, x)) / np.maximum(most, 1), -1, 1))
 
 
 def wedge_novelty(spark, sf_dir):
     """The most novel row of each query, if any is novel at all."""
-    p = pairs(spark, sf_dir, False).withColumn("score", _round(F.greatest(F.lit(0.0), wedge(cols(QW), cols(W)))))
-    return topk(p.where("score > 0"), 1, ["q_id"], [F.desc("score"), F.asc("doc_id")]).select(F.col("q_id").alias("query_id"), "doc_id", "score")
+    return search(lambda q, x: np.round(np.maximum(0, wedge(q, x)), 6), 1, False)(spark, sf_dir).where("score > 0").select("query_id", "doc_id", "score")
 
 
 def gap_bonus(spark, sf_dir):
     """The 11 nearest by similarity, each with its lead over the next added (half of it after the first, none for the last); the 10 best."""
     w = Window.partitionBy("query_id").orderBy("rank")
-    r = search(pap, 11, False, True)(spark, sf_dir).withColumn("next", F.lead("score").over(w))
+    r = search(tiles.rounded(tiles.pap_similarity), 11, False, True)(spark, sf_dir).withColumn("next", F.lead("score").over(w))
     lead = F.greatest(F.col("score") - F.col("next"), F.lit(0.0))
     s = r.select("query_id", "doc_id", _round(F.col("score") + F.coalesce(F.when(F.col("rank") == 1, lead).otherwise(lead / 2), F.lit(0.0))).alias("score"))
     return topk(s, 10, ["query_id"], [F.desc("score"), F.asc("doc_id")])
@@ -327,8 +336,8 @@ def consensus_fusion(spark, sf_dir):
 
     The lists are the 10 best by similarity, by 1 / (1 + distance), by similarity with the gap bonus, and the latter's first 5."""
     bonus = gap_bonus(spark, sf_dir)
-    near = search(lambda: _round(1 / (1 + F.sqrt(vectors.l2_sq(F.col("q_embedding"), F.col("embedding"))))), 10, False, True, words=False)(spark, sf_dir)
-    lists = {"hash": search(pap, 10, False, True)(spark, sf_dir), "spectral": near, "wedge": bonus, "hologram": bonus.where("rank <= 5")}
+    near = search(lambda q, x: np.round(1 / (1 + np.sqrt(tiles.l2_sq(q, x))), 6), 10, False, True, words=False)(spark, sf_dir)
+    lists = {"hash": search(tiles.rounded(tiles.pap_similarity), 10, False, True)(spark, sf_dir), "spectral": near, "wedge": bonus, "hologram": bonus.where("rank <= 5")}
     rows = None
     for name, df in lists.items():
         part = df.select("query_id", "doc_id", (F.col("score") * STAGES[name] / F.col("rank")).alias("part"))  # rank is 1 + position

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import vectors
-from .topk import asked_in_blocks, topk
+from . import tiles
+from .topk import topk
 
 SUBSPACES, WIDTH, CODES, ROUNDS = 8, 8, 256, 10  # fixed values: codes and rounds
 SEED_STEP = 7919  # fixed value: the k-th first word is row (k * 7919) % n
@@ -24,10 +25,10 @@ def _with(df: DataFrame, more: str) -> StructType:
 
 
 def matrix(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of a batch that are not null, and their rows."""
+    """The vectors of a batch that are not null, and their rows. (tiles.usable() leaves those of one length.)"""
     v = b.column(b.schema.get_field_index(column))
     fine = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
-    return np.array([v[int(i)].as_py() for i in fine], np.float64), fine
+    return tiles.matrix(v.take(pa.array(fine))), fine
 
 
 def summed(df: DataFrame, part: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
@@ -123,18 +124,21 @@ def decoded(codes: DataFrame, book: np.ndarray) -> DataFrame:
 
 
 def adc_topk(v: DataFrame, book: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, doc_id, score: the k nearest codes of each query by its table of distances to all words (SUBSPACES * CODES numbers a query, in broadcast blocks of 512 queries)."""
+    """query_id, rank, doc_id, score: the k nearest codes of each query by its table of distances to all words (SUBSPACES * CODES numbers a query), in tiles."""
+    codes = book.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, rows = matrix(b, "q_embedding")
-            luts = [((own.reshape(SUBSPACES, 1, WIDTH) - book) ** 2).sum(axis=2).tolist() for own in x]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(luts, pa.list_(pa.list_(pa.float64())))], ["q_id", "q_lut"])
+            luts = [((own.reshape(SUBSPACES, 1, WIDTH) - book) ** 2).sum(axis=2).ravel().tolist() for own in x]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(luts, pa.list_(pa.float64()))], ["q_id", "q_lut"])
 
-    q = queries.select("q_id", "q_embedding").mapInArrow(run, "q_id long, q_lut array<array<double>>")
-    score = sum((F.get(F.get("q_lut", F.lit(j)), F.get("codes", F.lit(j))) for j in range(SUBSPACES)), F.lit(0.0))
-    pairs = asked_in_blocks(coded(v, book), q, 512).where("q_id <> doc_id").select(F.col("q_id").alias("query_id"), "doc_id", (F.round(score, 6) + F.lit(0.0)).alias("score"))
-    return topk(pairs, k, ["query_id"], [F.asc("score"), F.asc("doc_id")])
+    def score(lut: np.ndarray, own: np.ndarray) -> np.ndarray:
+        own = own.astype(np.int64)
+        return np.round(sum(lut[:, j * codes + own[:, j]] for j in range(SUBSPACES)), 6)
+
+    q = queries.select("q_id", "q_embedding").mapInArrow(run, "q_id long, q_lut array<double>")
+    return tiles.nearest(coded(v, book), q, k, score, True, True, v.count())
 
 
 # --- cells -----------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from . import quantise
 from .fingerprints import EVERY, HASHED, POOL, SHAM, asked, ham, hashed, sql_near, sql_one, vectors_of
+from . import tiles
 from .topk import asked_in_blocks, score_all, topk
 
 
@@ -97,38 +98,40 @@ def int8(v: Column) -> Column:
     return F.transform(v, lambda x: F.floor(x.cast("double") * 127 + 0.5).cast("int"))
 
 
+def codes8(spark, sf_dir) -> DataFrame:
+    return tiles.usable(vectors_of(spark, sf_dir)).select("doc_id", int8(F.col("embedding")).alias("code"))
+
+
 def int8_topk(spark, sf_dir) -> DataFrame:
     """Exact integer products of 8-bit codes."""
-    e = vectors_of(spark, sf_dir).select("doc_id", int8(F.col("embedding")).alias("code"))
-    dot = F.aggregate(F.zip_with("q_code", "code", lambda x, y: x * y), F.lit(0), lambda s, x: s + x).cast("long")
-    return score_all(asked(e), e, dot, 10, False, True)
+    e = codes8(spark, sf_dir)
+    return tiles.nearest(e, asked(e), 10, tiles.dot, False, True).withColumn("score", F.col("score").cast("long"))
 
 
 def int8_l2_topk(spark, sf_dir) -> DataFrame:
     """Exact integer squared distances of 8-bit codes."""
-    e = vectors_of(spark, sf_dir).select("doc_id", int8(F.col("embedding")).alias("code"))
-    d = F.aggregate(F.zip_with("q_code", "code", lambda x, y: (x - y) * (x - y)), F.lit(0), lambda s, x: s + x).cast("long")
-    return score_all(asked(e), e, d, 10, True, True)
+    e = codes8(spark, sf_dir)
+    return tiles.nearest(e, asked(e), 10, tiles.l2_sq, True, True).withColumn("score", F.col("score").cast("long"))
 
 
 # --- product quantisation and cells: see quantise.py ----------------------------------------------------------
 
 
 def pq_codebook(spark, sf_dir) -> DataFrame:
-    book = quantise.train(vectors_of(spark, sf_dir))
+    book = quantise.train(tiles.usable(vectors_of(spark, sf_dir)))
     rows = [(j, c, i, float(x)) for j, sub in enumerate(book) for c, word in enumerate(sub) for i, x in enumerate(word)]
     return spark.createDataFrame(rows, "sub int, code int, i int, value double").withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 def pq_adc_topk(spark, sf_dir) -> DataFrame:
     """Asymmetric distance of the query's own vector to each code's words."""
-    v = vectors_of(spark, sf_dir)
+    v = tiles.usable(vectors_of(spark, sf_dir))
     return quantise.adc_topk(v, quantise.train(v), asked(v), 10)
 
 
 def pq_rerank_topk(spark, sf_dir) -> DataFrame:
     """The pool by asymmetric distance, re-scored by the vectors themselves."""
-    v = vectors_of(spark, sf_dir)
+    v = tiles.usable(vectors_of(spark, sf_dir))
     near = quantise.adc_topk(v, quantise.train(v), asked(v), POOL).select("query_id", "doc_id")
     s = near.join(v, "doc_id").join(asked(v).withColumnRenamed("q_id", "query_id"), "query_id").select("query_id", "doc_id", _r(vectors.l2_sq(qv(), dv())).alias("score"))
     return topk(s, 10, ["query_id"], [F.asc("score"), F.asc("doc_id")])
@@ -136,22 +139,22 @@ def pq_rerank_topk(spark, sf_dir) -> DataFrame:
 
 def pq_symmetric_topk(spark, sf_dir) -> DataFrame:
     """Distance of the codes' words to each other."""
-    v = vectors_of(spark, sf_dir)
+    v = tiles.usable(vectors_of(spark, sf_dir))
     book = quantise.train(v)
     c = quantise.coded(v, book)
     words = quantise.decoded(c, book)
-    return score_all(asked(words), words, _r(vectors.l2_sq(qv(), dv())), 10, True, True)
+    return tiles.nearest(words, asked(words), 10, tiles.rounded(tiles.l2_sq), True, True)
 
 
 def cell_topk(spark, sf_dir) -> DataFrame:
     """Nearest by squared distance through an inverted file, exact: see quantise.cell_search."""
-    v = vectors_of(spark, sf_dir)
+    v = tiles.usable(vectors_of(spark, sf_dir))
     return quantise.cell_search(v, asked(v), 10)
 
 
 def cell_gateways(spark, sf_dir) -> DataFrame:
     """Of each cell its size and the row with the least 8-bit norm."""
-    v = vectors_of(spark, sf_dir)
+    v = tiles.usable(vectors_of(spark, sf_dir))
     norm = F.aggregate(F.transform(int8(F.col("embedding")), lambda x: x * x), F.lit(0), lambda s, x: s + x)
     own = quantise.celled(v, quantise.centres(v), 1)
     return own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.struct(norm, F.col("doc_id"))).alias("gateway"))
@@ -179,7 +182,7 @@ def label_radius(spark, sf_dir) -> DataFrame:
 
 def gram_matrix(spark, sf_dir) -> DataFrame:
     """Mean products of every two components, the upper triangle: rows are summed to partial matrices in their tasks first."""
-    return quantise.gram(vectors_of(spark, sf_dir)).withColumn("value", F.round("value", 6) + F.lit(0.0))
+    return quantise.gram(tiles.usable(vectors_of(spark, sf_dir))).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 def rank_agreement(spark, sf_dir) -> DataFrame:
