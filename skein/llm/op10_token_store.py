@@ -114,7 +114,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, d
             out.write(struct.pack("<QQ", at, n_docs) + MAGIC)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([uri]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64()), pa.array([dictionary_uri])], ["shard", "uri", "n_docs", "n_tokens", "dictionary_uri"])
 
-    ordered = encoded.repartitionByRange(shards, "doc_id").sortWithinPartitions(F.col("doc_id"), F.crc32("frame"))
+    ordered = encoded.repartitionByRange(shards, F.col("doc_id"), F.crc32("frame")).sortWithinPartitions(F.col("doc_id"), F.crc32("frame"))
     return common.staged(ordered.mapInArrow(write, "shard long, uri string, n_docs long, n_tokens long, dictionary_uri string"), "token-manifest")
 
 

@@ -138,7 +138,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = docs.withColumn(text, common.utf8(text)).withColumn(doc_id, F.col(f"`{doc_id}`").cast("long"))
     key = common.column_named(docs, "_batch")
     n_batches, n_buckets = batches.sizes(rows.select(F.col(f"`{text}`").alias("text")), batch_bytes, bucket_hashes)
-    spread = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`")))), F.lit(n_batches)).cast("int")
+    spread = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(n_batches)).cast("int")  # rows that share a doc_id go apart
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

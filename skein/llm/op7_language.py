@@ -1,7 +1,8 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Results: a text that is null or has no letter (Unicode's categories L) is `und` with score 0; so is every text if nothing
-could be learned. A very long text is scored whole, part by part; extra columns are kept, an empty table gives an empty
+could be learned. Overlapping grams are not independent evidence, so a text's log likelihoods weigh as those of EVIDENCE grams
+at most; that tempers its score, as the prior then counts as much as beside a short text. A very long text is scored whole, part by part; extra columns are kept, an empty table gives an empty
 table, repeated rows are each predicted alike, ties of two languages go to the first in the alphabet, and a row without a
 doc_id is neither learned from nor held out.
 """
@@ -23,6 +24,7 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 LETTER = re.compile(r"[^\W\d_]")
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+EVIDENCE = 60
 #: Code points that are scored at a time; a longer text goes part by part.
 CHUNK = 1 << 18
 
@@ -88,8 +90,7 @@ class Model:
             for bucket in grams(points, left):
                 np.add.at(total, rows, np.add.reduceat(self.table.take(bucket, axis=0), starts, axis=0))
                 np.add.at(n, rows, np.add.reduceat((bucket < BUCKETS).astype(np.int64), starts))
-        # the evidence of overlapping grams is not independent: weigh a text as 60 grams at most
-        s = self.prior + total * np.minimum(1.0, 60 / np.maximum(1, n))[:, None]
+        s = self.prior + total * np.minimum(1.0, EVIDENCE / np.maximum(1, n))[:, None]
         p = np.exp(s - s.max(axis=1, keepdims=True)) if self.langs else s
         return [(self.langs[k], float(x[k] / x.sum())) if ok else ("und", 0.0) for ok, x, k in zip(told, p, p.argmax(axis=1) if self.langs else told, strict=True)]
 

@@ -487,3 +487,19 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_a_doc_id_fill_all_batches_and_shards(spark, tmp_path):
+    """A doc_id of all rows, and null in a third: op3's batches and op10's shards are dealt by more than the id."""
+    from skein.llm import batches
+    from skein.llm import op3_substrings as op3
+
+    rows = [(7 if i % 3 else None, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, gathered = [], batches.gathered
+    batches.gathered = lambda packed, n: seen.append((n, packed.select("batch").distinct().count())) or gathered(packed, n)
+    try:
+        out = op3.dedup_substrings(df, batch_bytes=4000)
+    finally:
+        batches.gathered = gathered
+    assert out.where("n_removed > 0").count() == 0 and seen[0][0] > 20 and seen[0][1] > 0.8 * seen[0][0]
