@@ -78,23 +78,23 @@ def numbered(v: DataFrame, wanted: Callable[[int], list[int]], cells: int = 65_5
     return np.array([by[p] for p in places], np.float64)
 
 
-def train(v: DataFrame, rounds: int = ROUNDS, codes: int = CODES) -> np.ndarray:
+def train(v: DataFrame, rounds: int = ROUNDS, codes: int = CODES, subspaces: int = SUBSPACES, width: int = WIDTH) -> np.ndarray:
     """Words of each subspace after `rounds` of Lloyd over all rows; a code without rows keeps its word."""
     first = numbered(v, lambda n: [(k * SEED_STEP) % n for k in range(codes)])
     if not len(first):
-        return np.zeros((SUBSPACES, 0, WIDTH))
-    book = np.stack([first[:, j * WIDTH : (j + 1) * WIDTH] for j in range(SUBSPACES)])
+        return np.zeros((subspaces, 0, width))
+    book = np.stack([first[:, j * width : (j + 1) * width] for j in range(subspaces)])
     for _ in range(rounds):
         now = book
 
         def part(x: np.ndarray, now=now) -> np.ndarray:
-            out = np.zeros((SUBSPACES, codes, WIDTH + 1))
-            for j in range(SUBSPACES):
-                own = x[:, j * WIDTH : (j + 1) * WIDTH]
+            out = np.zeros((subspaces, codes, width + 1))
+            for j in range(subspaces):
+                own = x[:, j * width : (j + 1) * width]
                 np.add.at(out[j], nearest_code(own, now[j]), np.hstack([own, np.ones((len(own), 1))]))
             return out.ravel()
 
-        sums = summed(v, part, SUBSPACES * codes * (WIDTH + 1)).reshape(SUBSPACES, codes, WIDTH + 1)
+        sums = summed(v, part, subspaces * codes * (width + 1)).reshape(subspaces, codes, width + 1)
         n = sums[..., -1:]
         book = np.where(n > 0, np.round(sums[..., :-1] / np.maximum(n, 1), 9), book)
     return book
@@ -102,11 +102,12 @@ def train(v: DataFrame, rounds: int = ROUNDS, codes: int = CODES) -> np.ndarray:
 
 def coded(v: DataFrame, book: np.ndarray) -> DataFrame:
     """doc_id and codes (one for each subspace) of every vector."""
+    subspaces, _, width = book.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, rows = matrix(b, "embedding")
-            c = np.stack([nearest_code(x[:, j * WIDTH : (j + 1) * WIDTH], book[j]) for j in range(SUBSPACES)], axis=1) if len(x) else np.empty((0, SUBSPACES), np.int64)
+            c = np.stack([nearest_code(x[:, j * width : (j + 1) * width], book[j]) for j in range(subspaces)], axis=1) if len(x) else np.empty((0, subspaces), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(c.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["doc_id", "codes"])
 
     return v.select("doc_id", "embedding").mapInArrow(run, "doc_id long, codes array<int>")
@@ -124,18 +125,18 @@ def decoded(codes: DataFrame, book: np.ndarray) -> DataFrame:
 
 
 def adc_topk(v: DataFrame, book: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, doc_id, score: the k nearest codes of each query by its table of distances to all words (SUBSPACES * CODES numbers a query), in tiles."""
-    codes = book.shape[1]
+    """query_id, rank, doc_id, score: the k nearest codes of each query by its table of distances to all words (as many numbers as the book has words), in tiles."""
+    subspaces, codes, width = book.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, rows = matrix(b, "q_embedding")
-            luts = [((own.reshape(SUBSPACES, 1, WIDTH) - book) ** 2).sum(axis=2).ravel().tolist() for own in x]
+            luts = [((own.reshape(subspaces, 1, width) - book) ** 2).sum(axis=2).ravel().tolist() for own in x]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(luts, pa.list_(pa.float64()))], ["q_id", "q_lut"])
 
     def score(lut: np.ndarray, own: np.ndarray) -> np.ndarray:
         own = own.astype(np.int64)
-        return np.round(sum(lut[:, j * codes + own[:, j]] for j in range(SUBSPACES)), 6)
+        return np.round(sum(lut[:, j * codes + own[:, j]] for j in range(subspaces)), 6)
 
     q = queries.select("q_id", "q_embedding").mapInArrow(run, "q_id long, q_lut array<double>")
     return tiles.nearest(coded(v, book), q, k, score, True, True, v.count())

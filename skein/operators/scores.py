@@ -160,16 +160,6 @@ def cell_gateways(spark, sf_dir) -> DataFrame:
     return own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.struct(norm, F.col("doc_id"))).alias("gateway"))
 
 
-def level_codec(spark, sf_dir) -> DataFrame:
-    """A codec of 16 levels for each component: its 16-quantiles' means; each row's error when its components take the nearest level."""
-    e = vectors_of(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    span = e.groupBy("i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    cell = F.least(F.lit(15), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * 16)).cast("int")
-    c = e.join(F.broadcast(span), "i").withColumn("level", F.when(F.col("high") > F.col("low"), cell).otherwise(0))  # two numbers for each component
-    means = c.groupBy("i", "level").agg(F.round(F.avg("x"), 9).alias("mean"))
-    return c.join(F.broadcast(means), ["i", "level"]).groupBy("doc_id").agg(_r(F.sum((F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean")))).alias("error"))  # 16 numbers for each component
-
-
 # --- sets and rankings ---------------------------------------------------------------------------------------
 
 
@@ -229,7 +219,6 @@ QUERIES = {
     "pq_symmetric_topk": (pq_symmetric_topk, _top(R.format("d2"), "ASC", f"WITH {_pq_sql()}, y AS (SELECT id, w.sub, i, value FROM c{LAST} c JOIN w{LAST} w ON c.sub = w.sub AND c.code = w.code) SELECT a.id AS query_id, b.id AS doc_id, sum((a.value - b.value) * (a.value - b.value)) AS d2 FROM y a JOIN y b USING (sub, i) WHERE a.id % {EVERY} = 0 AND a.id <> b.id GROUP BY ALL")),
     "cell_topk": (cell_topk, _top(R.format("d2"), "ASC")),
     "cell_gateways": (cell_gateways, f"WITH {CELL} SELECT cell, count(*) AS n, arg_min(id, (norm, id)) AS gateway FROM n JOIN (SELECT vec_id, list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 127 + 0.5)::INT ** 2)) AS norm FROM embeddings) e ON e.vec_id = n.id WHERE r = 1 GROUP BY 1"),
-    "level_codec": (level_codec, f"WITH e AS (SELECT vec_id AS doc_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT *, CASE WHEN max(x) OVER w > min(x) OVER w THEN least(15, floor((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * 16)) ELSE 0 END AS level FROM e WINDOW w AS (PARTITION BY i)), m AS (SELECT i, level, round(avg(x), 9) AS mean FROM c GROUP BY ALL) SELECT doc_id, {R.format('sum((x - mean) * (x - mean))')} AS error FROM c JOIN m USING (i, level) GROUP BY 1"),
     "label_radius": (label_radius, f"WITH v AS (SELECT label, vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM v GROUP BY ALL), d AS (SELECT label, vec_id, sqrt(sum((x - m) * (x - m))) AS d FROM v JOIN m USING (label, i) GROUP BY ALL) SELECT label, count(*) AS n, {R.format('max(d)')} AS radius FROM d GROUP BY 1"),
     "gram_matrix": (gram_matrix, f"WITH v AS (SELECT vec_id, unnest(range(64))::INT AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT a.i, b.i AS j, {R.format('avg(a.x * b.x)')} AS value FROM v a JOIN v b USING (vec_id) WHERE a.i <= b.i GROUP BY 1, 2"),
     "rank_agreement": (rank_agreement, f"WITH {PAIR}, k AS (SELECT query_id, h, row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 6) DESC, doc_id) AS r FROM s WHERE query_id <> doc_id QUALIFY r <= 10), p AS (SELECT a.query_id, sum(sign(b.h - a.h))::BIGINT AS tau FROM k a JOIN k b ON a.query_id = b.query_id AND b.r > a.r GROUP BY 1), m AS (SELECT query_id, {R.format('avg(h)')} AS mean_h FROM k GROUP BY 1) SELECT query_id, tau, mean_h FROM p JOIN m USING (query_id)"),

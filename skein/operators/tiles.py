@@ -87,7 +87,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, score: Scores, ascendin
 
     def dealt(df: DataFrame, mine: str, m: int, other: str, o: int) -> DataFrame:
         df = df.toDF("id", *(f"v{i}" for i in range(len(df.columns) - 1)))
-        return df.withColumn(mine, F.pmod(F.xxhash64(*df.columns), F.lit(m))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(o - 1))))
+        # both sides' keys must be of one type, or they are hashed to different partitions
+        return df.withColumn(mine, F.pmod(F.xxhash64(*df.columns), F.lit(m)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(o - 1))))
 
     def values(t: pa.Table) -> np.ndarray:
         if words:

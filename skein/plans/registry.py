@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import algebra, documents, fingerprints, scores, state, telemetry
+from ..operators import algebra, codec, documents, fingerprints, graph, opq, scores, spectral, state, telemetry
 
-QUERIES = fingerprints.QUERIES | algebra.QUERIES | scores.QUERIES | documents.QUERIES | telemetry.QUERIES | state.QUERIES
+QUERIES = fingerprints.QUERIES | algebra.QUERIES | scores.QUERIES | codec.QUERIES | graph.QUERIES | opq.QUERIES | spectral.QUERIES | documents.QUERIES | telemetry.QUERIES | state.QUERIES
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in QUERIES.items()}
+    return {k: sql for k, (_, sql) in QUERIES.items() if sql is not None}
