@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, encode
+from . import hologram, tiles
 from .fingerprints import EVERY, HASHED, OTHERS, SHAM, QW, W, asked, bucket, cols, ham, hashed, sql_bucket, sql_one, sql_pap, sql_pap_dist, vectors_of
 from .topk import asked_in_blocks, score_all, topk
 
@@ -100,10 +101,15 @@ def residue_votes(spark, sf_dir):
 
 
 def residue_agreement(spark, sf_dir):
-    """Share of bases in which two positional sums (bytes times place, from 1) are within one step on the ring; full agreement only."""
-    h = words(spark, sf_dir).select("doc_id", _total(encode.byte(i) * (i + 1) for i in range(64)).alias("s"))
-    share = _total((ring("s", b) <= 1).cast("int") for b in BASES) / 4.0
-    return pairs(spark, sf_dir, h).where("q_id <> doc_id").select(F.col("q_id").alias("query_id"), "doc_id", share.alias("agreement")).where("agreement = 1")
+    """The 10 rows with the largest share of bases in which two coordinates are within one step on the ring. A coordinate folds the first 8 bytes in the base, remainder by the base."""
+
+    def share(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        apart = lambda b: np.abs(q[:, 0, None] % b - x[:, 0] % b)
+        return sum((np.minimum(apart(b), b - apart(b)) <= 1) for b in BASES) / len(BASES)
+
+    # of the fold ((b0 * base + b1) * base + ...) + b7 the base divides all but the last byte
+    h = words(spark, sf_dir).where("h0 is not null").select("doc_id", F.array(encode.byte(7)).alias("last"))
+    return tiles.nearest(h, asked(h), 10, share, False, True)
 
 
 def bucket_congruence(spark, sf_dir):
@@ -251,12 +257,10 @@ def vault_ids(spark, sf_dir):
 
 
 def mirror_hashes(spark, sf_dir):
-    """Each fingerprint turned left by the mirror's seed, (m + 1) * 37 bits, for three mirrors."""
+    """Each fingerprint turned left by the mirror's seed, its number times 2654435761, for four mirrors."""
     out = None
-    for m in range(3):
-        k, s = divmod((m + 1) * 37 % 512, 64)
-        turned = [F.shiftleft(F.col(W[(k + i) % 8]), s).bitwiseOR(F.shiftrightunsigned(F.col(W[(k + i + 1) % 8]), 64 - s)) if s else F.col(W[(k + i) % 8]) for i in range(8)]
-        part = words(spark, sf_dir).select("doc_id", F.lit(m).alias("mirror"), *(c.alias(w) for c, w in zip(turned, W, strict=True)))
+    for m, turn in enumerate(hologram.TURNS):
+        part = words(spark, sf_dir).select("doc_id", F.lit(m).alias("mirror"), *(c.alias(w) for c, w in zip(hologram.mirrored(turn), W, strict=True)))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -268,14 +272,23 @@ def _fibonacci(n: int) -> list[int]:
     return out
 
 
-#: Places that the keys sample, by rule.
-PATTERNS = {"cube": [i**3 for i in range(1, 65)], "fibonacci": _fibonacci(64), "power2": [1 << (i % 9) for i in range(64)], "prime": [n for n in range(2, 400) if all(n % d for d in range(2, math.isqrt(n) + 1))][:64]}
+#: Places that the keys sample, by rule: 512 for each.
+PATTERNS = {"cube": [i**3 for i in range(1, 513)], "fibonacci": _fibonacci(512), "power2": [1 << (i % 9) for i in range(512)], "prime": [n for n in range(2, 3700) if all(n % d for d in range(2, math.isqrt(n) + 1))][:512]}
 
 
 def pattern_keys(spark, sf_dir):
-    """How many of the first 64 sampled components are not negative, by the pattern of places."""
-    at = lambda p: F.aggregate(F.array(*(F.lit(x % 64) for x in p)), F.lit(0), lambda s, i: s + (F.get("embedding", i) >= 0).cast("int"))
-    return vectors_of(spark, sf_dir).select("doc_id", *(at(p).cast("long").alias(k) for k, p in PATTERNS.items()))
+    """Each row's keys: the signs (set: not negative) of 512 sampled components, by the pattern of places, as eight words."""
+
+    def run(batches):
+        for b in batches:
+            x, docs = tiles.matrix(b.column(1)), b.column(0)
+            for k, places in PATTERNS.items():
+                if len(docs):
+                    signs = x[:, [p % x.shape[1] for p in places]] >= 0
+                    key = np.ascontiguousarray(np.packbits(signs, axis=1)).view(">i8").astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([docs, pa.array([k] * len(docs)), *(pa.array(key[:, i]) for i in range(8))], ["doc_id", "pattern", *W])
+
+    return tiles.usable(vectors_of(spark, sf_dir)).select("doc_id", "embedding").mapInArrow(run, "doc_id long, pattern string, " + ", ".join(f"{w} long" for w in W))
 
 
 def lsh_tables(spark, sf_dir):
@@ -360,13 +373,15 @@ def sparse_memory_read(spark, sf_dir):
     return near.join(sparse_memory_write(spark, sf_dir), "location").groupBy("query_id", "bit").agg(F.sum("counter").alias("counter")).withColumn("echo", F.col("counter") > 0)
 
 
+#: Weight of byte i on an axis: ((i * step + start) mod 64) / 32 - 1.
+AXIS_WEIGHTS = ((7, 3), (13, 5), (31, 11))  # fixed values: step and start
+
+
 def spectral_projection(spark, sf_dir):
-    """Three sums of the bits as +1 and -1, with weights cos(2 pi (bit + 1) (axis + 1) / 512), and their rounding to 65536 steps of [-2, 2]."""
-    out, word = [], F.array(*cols(W))
-    for a in range(3):
-        w = F.array(*(F.lit(math.cos(2 * math.pi * (j + 1) * (a + 1) / 512)) for j in range(512)))
-        sign = F.transform(w, lambda x, j: x * (2 * F.getbit(F.get(word, F.floor(j / 64).cast("int")), 63 - j % 64).cast("int") - 1))
-        s = F.round(F.aggregate(sign, F.lit(0.0), lambda t, x: t + x) / 512, 6) + F.lit(0.0)
+    """Three weighted sums of the bytes over 255, and their rounding to 65536 steps of [-2, 2]."""
+    out = []
+    for a, (step, start) in enumerate(AXIS_WEIGHTS):
+        s = F.round(_total(encode.byte(i).cast("double") / 255.0 * ((i * step + start) % 64 / 32 - 1) for i in range(64)), 6) + F.lit(0.0)
         out += [s.alias(f"s{a}"), F.round((F.least(F.greatest(s, F.lit(-2.0)), F.lit(2.0)) + 2) / 4 * 65_535).cast("long").alias(f"q{a}")]
     return words(spark, sf_dir).select("doc_id", *out)
 
@@ -423,21 +438,23 @@ def _flipped(k):
 
 
 _VOTES = " + ".join(f"({_ring_sql('x', b)} + {_ring_sql('y', b)} + {_ring_sql('z', b)} <= 1)::INT" for b in BASES)
-_AGREES = " + ".join(f"({_ring_sql('s', b)} <= 1)::INT" for b in BASES)
 _GRADES = ", ".join(f"(bit_count({_and('h0', a)}) + bit_count({_and('h1', b)}))::INT AS grade{g}" for g, (a, b) in enumerate(GRADES))
 _GRADED = " + ".join(f"{f} * ({sql_pap_dist([_and('h0', a), _and('h1', b)], [_and('q_h0', a), _and('q_h1', b)])})" for f, (a, b) in zip((1, 1, 2), GRADES, strict=True))
 _BLEND = " * ".join("(1 - (0::BIGINT + " + " + ".join(f"bit_count(xor({w}, q_{w}))" for w in W[a:b]) + f") / {64 * (b - a)}.0::DOUBLE)" for a, b in PARTS)
-_KEYS = ", ".join(f"list_sum(list_transform({[x % 64 for x in p]}, lambda i: (embedding[i + 1] >= 0)::INT))::BIGINT AS {k}" for k, p in PATTERNS.items())
-_SPECTRAL = ", ".join(f"round(list_sum(list_transform(range(512), lambda j: cos(2 * pi() * (j + 1) * {a + 1} / 512) * (2 * bits[j + 1] - 1))) / 512, 6) + 0.0 AS s{a}" for a in range(3))
+_SPECTRAL = ", ".join(f"round(list_sum(list_transform(range(64), lambda i: b[i + 1] / 255.0::DOUBLE * (((i * {m} + {o}) % 64) / 32.0::DOUBLE - 1))), 6) + 0.0 AS s{a}" for a, (m, o) in enumerate(AXIS_WEIGHTS))
 _STEPPED = ", ".join(f"s{a}, round((least(greatest(s{a}, -2.0), 2.0) + 2) / 4 * 65535)::BIGINT AS q{a}" for a in range(3))
 _CHI = "g AS (SELECT doc_id, bits[1:64] AS g FROM z), c AS (SELECT doc_id, g, unnest(range(64)) AS i FROM g), n AS (SELECT doc_id, g[i + 1] AS one, CASE WHEN i % 8 < 7 THEN g[i + 1] * g[i + 2] ELSE 0 END AS across, CASE WHEN i < 56 THEN g[i + 1] * g[i + 9] ELSE 0 END AS down, CASE WHEN i % 8 < 7 AND i < 56 THEN g[i + 1] * g[i + 2] * g[i + 9] * g[i + 10] ELSE 0 END AS square FROM c)"
 _WAYS = "w AS (SELECT * FROM (VALUES (0, 1, 0, 0), (1, -1, 0, 0), (2, 0, 1, 0), (3, 0, -1, 0), (4, 0, 0, 1), (5, 0, 0, -1)) t(way, dx, dy, dz))"
+def _fold(column: str, base: int) -> str:
+    return f"((list_reduce(list_prepend(0::HUGEINT, list_transform(range(8), lambda i: {column}[i + 1]::HUGEINT)), lambda a, y: a * {base} + y)) % {base})::INT"
+
+
 QUERIES = {
     "residue_sums": (residue_sums, f"WITH {HASHED}, {RES} SELECT doc_id, place, residue FROM r"),
     "crt_keys": (crt_keys, f"WITH {HASHED}, {RES}, k AS (SELECT doc_id, max(residue) FILTER (place = 0) AS r3, max(residue) FILTER (place = 22) AS r4, max(residue) FILTER (place = 38) AS r6, max(residue) FILTER (place = 49) AS r8 FROM r GROUP BY 1) SELECT doc_id, n AS crt_key, r6 % 3 = r3 AND r4 % 4 = r8 % 4 AS consistent FROM k, range(24) t(n) WHERE n % 3 = r3 AND n % 8 = r8"),
     "torus_coordinates": (torus_coordinates, f"WITH {HASHED}, {COORD} SELECT doc_id, {', '.join(f'({n} % {b})::INT AS {n}{b}' for b in BASES for n, *_ in AXES)} FROM c"),
     "residue_votes": (residue_votes, f"WITH {HASHED}, {COORD}, v AS (SELECT k.doc_id AS query_id, c.doc_id, ({_VOTES})::BIGINT AS votes FROM c, c k WHERE {TWO} c.doc_id) SELECT * FROM v WHERE votes >= 3"),
-    "residue_agreement": (residue_agreement, f"WITH {HASHED}, c AS (SELECT doc_id, list_sum(list_transform(range(64), lambda i: b[i + 1] * (i + 1)))::BIGINT AS s FROM h), v AS (SELECT k.doc_id AS query_id, c.doc_id, ({_AGREES}) / 4.0::DOUBLE AS agreement FROM c, c k WHERE {TWO} c.doc_id) SELECT * FROM v WHERE agreement = 1"),
+    "residue_agreement": (residue_agreement, sql_one("(" + " + ".join(f"(least(abs({_fold('b', x)} - {_fold('q_b', x)}), {x} - abs({_fold('b', x)} - {_fold('q_b', x)})) <= 1)::INT" for x in BASES) + ") / 4.0::DOUBLE", "DESC", where=OTHERS)),
     "bucket_congruence": (bucket_congruence, f"WITH {HASHED}, d AS (SELECT DISTINCT {sql_bucket(16)} AS bucket FROM h), r AS (SELECT bucket, unnest([bucket % 3, bucket % 4, bucket % 6, bucket % 8]) AS r FROM d), n AS (SELECT bucket, r, count(*) AS n FROM r GROUP BY ALL) SELECT bucket, max(n) / 4.0::DOUBLE AS score FROM n GROUP BY 1"),
     "signatures": (signatures, f"WITH {HASHED} SELECT doc_id, {_ONES} AS ones, {', '.join(f'(list_sum(b) % {m})::BIGINT AS mod{m}' for m in BASES)} FROM h"),
     "lattice_coordinates": (lattice_coordinates, f"WITH {HASHED}, {LAT} SELECT doc_id, cx, cy, cz, cx * 1024 + cy * 32 + cz AS cell, 2 * cx AS x, 2 * cy AS y, 2 * cz AS z, cx * cx + cy * cy + cz * cz AS inf FROM l"),
@@ -452,8 +469,8 @@ QUERIES = {
     "bit_velocity": (bit_velocity, f"WITH {HASHED}, j AS (SELECT a.doc_id, a.h0, a.h1, o.h0 AS o0, o.h1 AS o1 FROM h a JOIN h o ON o.doc_id = a.doc_id + 1), d AS (SELECT *, list_filter(range(128), lambda i: CASE WHEN i < 64 THEN (xor(h0, o0) >> i::INT) & 1 ELSE (xor(h1, o1) >> (i - 64)::INT) & 1 END = 1)[1:32] AS f FROM j) SELECT doc_id, xor(h0, o0) AS v0, xor(h1, o1) AS v1, {_flipped(0)}, {_flipped(1)} FROM d"),
     "cell_power": (cell_power, f"WITH {HASHED}, p AS (SELECT doc_id, {_ONES} / 512.0::DOUBLE AS p FROM h) SELECT doc_id, round(CASE WHEN p IN (0, 1) THEN 0 ELSE -(p * log2(p) + (1 - p) * log2(1 - p)) END, 6) AS power FROM p"),
     "vault_ids": (vault_ids, f"WITH {HASHED} SELECT doc_id, {', '.join(f'{sql_bucket(n)} AS level{i + 1}' for i, n in enumerate((4, 8, 12)))} FROM h"),
-    "mirror_hashes": (mirror_hashes, f"WITH {encode.SQL}, m AS (SELECT doc_id, mirror, list_transform(range(512), lambda i: bits[(i + (mirror + 1) * 37) % 512 + 1]) AS turned FROM z, (SELECT unnest(range(3))::INT AS mirror)) SELECT doc_id, mirror, {encode.sql_words('turned')} FROM m"),
-    "pattern_keys": (pattern_keys, f"SELECT vec_id AS doc_id, {_KEYS} FROM embeddings"),
+    "mirror_hashes": (mirror_hashes, f"WITH {encode.SQL}, m AS (SELECT doc_id, mirror, list_transform(range(512), lambda i: bits[(i + mirror::BIGINT * 2654435761) % 512 + 1]) AS turned FROM z, (SELECT unnest(range(4))::INT AS mirror)) SELECT doc_id, mirror, {encode.sql_words('turned')} FROM m"),
+    "pattern_keys": (pattern_keys, " UNION ALL ".join(f"SELECT doc_id, '{k}' AS pattern, {encode.sql_words()} FROM (SELECT vec_id AS doc_id, list_transform({[x % 64 for x in p]}, lambda i: (embedding[i + 1] >= 0)::INT) AS bits FROM embeddings)" for k, p in PATTERNS.items())),
     "lsh_tables": (lsh_tables, f"WITH {HASHED} SELECT q_id AS query_id, doc_id FROM h, q WHERE {SHAM} = 0"),
     "euler_characteristic": (euler_characteristic, f"WITH {encode.SQL}, {_CHI} SELECT doc_id, (sum(one) - sum(across) - sum(down) + 2 * sum(square))::BIGINT AS chi FROM n GROUP BY 1"),
     "blend_topk": (blend_topk, sql_one(f"round({_BLEND}, 6)", "DESC", where=OTHERS)),
@@ -464,5 +481,5 @@ QUERIES = {
     "prefix_share": (prefix_share, f"WITH {HASHED}, f AS (SELECT {sql_bucket(8)} AS bucket, count(*) AS n FROM h GROUP BY 1), d AS (SELECT q_id AS query_id, n, percent_rank() OVER (PARTITION BY q_id ORDER BY bit_count(xor(bucket, {sql_bucket(8, 'q_h0')})), bucket) AS p FROM q, f) SELECT query_id, count(*) AS buckets, sum(n)::BIGINT AS held FROM d WHERE p <= 0.05 GROUP BY 1"),
     "sparse_memory_write": (sparse_memory_write, f"WITH {HASHED}, {_G}, {_COUNTERS} SELECT * FROM m"),
     "sparse_memory_read": (sparse_memory_read, f"WITH {HASHED}, {_G}, {_COUNTERS}, n AS (SELECT h.doc_id AS query_id, location FROM h, g WHERE h.doc_id % {EVERY} = 0 AND {SHAM} <= 240) SELECT query_id, bit, sum(counter)::BIGINT AS counter, sum(counter) > 0 AS echo FROM n JOIN m USING (location) GROUP BY 1, 2"),
-    "spectral_projection": (spectral_projection, f"WITH {encode.SQL}, s AS (SELECT doc_id, {_SPECTRAL} FROM z) SELECT doc_id, {_STEPPED} FROM s"),
+    "spectral_projection": (spectral_projection, f"WITH {encode.SQL}, s AS (SELECT doc_id, {_SPECTRAL} FROM h) SELECT doc_id, {_STEPPED} FROM s"),
 }

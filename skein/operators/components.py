@@ -9,7 +9,7 @@ from ..sources import scratch
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """edges (a, b) to (node, component), the component's smallest node. Each round is written, so lineage stays short; with jumps the rounds grow with the logarithm of a path's length."""
+    """edges (a, b) to (node, component), the component's smallest node. Each round is written, so lineage stays short; with jumps the rounds grow with the logarithm of a path's length. Labels that still change after `rounds` raise."""
     e = scratch.staged(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     now = scratch.staged(e.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     for _ in range(rounds):
@@ -20,5 +20,5 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         done = new.where("component <> before").isEmpty()
         now = new.select("node", "component")
         if done:
-            break
-    return now
+            return now
+    raise RuntimeError(f"labels still change after {rounds} rounds")

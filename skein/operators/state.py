@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -91,10 +91,13 @@ def trust_scores(spark, sf_dir):
 
 
 def scar_bias(spark, sf_dir):
-    """Each user's bias: 0.15 more at an error and 0.1 beyond at a repeat, else a thousandth less; 1 at most."""
-    before = F.lag(F.col("event_type") == "error").over(_by("user_id"))
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") != "error", F.lit(0.0)).when(before, 0.25).otherwise(0.15).alias("change"))
-    return ordered_fold(e, "user_id", ["ts", "event_id"], "change", 0.0, lambda s, d: round(min(1.0, s + d) if d else s * 0.999, 6), "bias").select("event_id", "bias")
+    """Each user's bias, from 1: an error adds 0.15, and 0.1 more if there was one before with at most 1000 quiet rows since; a quiet row takes a thousandth. Within 1 and 2."""
+    w = _by("user_id")
+    e = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).withColumn("error", F.col("event_type") == "error")
+    last = F.max(F.when(F.col("error"), F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    change = F.when(~F.col("error"), 0.0).when(F.col("n") - last <= 1001, 0.25).otherwise(0.15)
+    e = e.select("event_id", "user_id", "ts", change.alias("change"))
+    return ordered_fold(e, "user_id", ["ts", "event_id"], "change", 1.0, lambda s, d: round(min(2.0, s + d) if d else max(1.0, s * 0.999), 6), "bias").select("event_id", "bias")
 
 
 def ledger_chain(spark, sf_dir):
@@ -113,8 +116,6 @@ def ledger_verify(spark, sf_dir):
 
 
 def _by(key: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(key).orderBy("ts", "event_id")
 
 
@@ -138,13 +139,13 @@ QUERIES = {
     "health_bands": same(f"WITH e AS (SELECT event_id, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END) OVER ({U} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS accuracy FROM {{events}}) SELECT event_id, accuracy, CASE WHEN accuracy >= 0.85 THEN 'green' WHEN accuracy >= 0.6 THEN 'yellow' ELSE 'red' END AS band FROM e"),
     "pinned_paths": same(f"WITH e AS (SELECT event_id, count(*) OVER ({U} ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS n, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END) OVER ({U} ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), 6) AS long_run, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END) OVER ({U} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS short_run FROM {{events}}) SELECT event_id, n >= 40 AND long_run >= 0.9 AND short_run >= 0.9 AS pinned FROM e"),
     "ema_velocity": same(f"WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age FROM {{events}}) SELECT user_id, round(sum(0.1 * value * pow(0.9, age)), 5) AS velocity FROM e GROUP BY user_id"),
-    "wallet_balance": same(f"WITH e AS (SELECT event_id, sum(CASE WHEN event_type = 'error' THEN -10 WHEN event_type = 'purchase' THEN 3 ELSE 1 END) OVER ({U} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance FROM {{events}}) SELECT event_id, CAST(balance AS BIGINT) AS balance, balance <= 0 AS bankrupt FROM e"),
+    "wallet_balance": same(f"WITH e AS (SELECT event_id, 100 + sum(CASE WHEN event_type = 'error' THEN -10 WHEN event_type = 'purchase' THEN 3 ELSE 1 END) OVER ({U} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance FROM {{events}}) SELECT event_id, CAST(balance AS BIGINT) AS balance, balance <= 0 AS bankrupt FROM e"),
     "heat_spill": same(f"WITH {HEAT}, {SPILL} SELECT CAST(cell AS BIGINT) AS cell, round(sum(amount), 5) AS heat FROM s GROUP BY cell"),
     "heat_decay": same(f"WITH {HEAT}, {SPILL}, n AS (SELECT max(hour) AS now FROM h), d AS (SELECT cell, round(sum(amount * pow(0.95, now - hour)), 6) AS heat FROM s, n GROUP BY cell) SELECT CAST(cell AS BIGINT) AS cell, heat FROM d WHERE heat >= 0.001"),
     "top_hot": same(f"WITH {HEAT}, {SPILL}, t AS (SELECT cell, round(sum(amount), 5) AS heat FROM s GROUP BY cell), r AS (SELECT CAST(cell AS BIGINT) AS cell, heat, row_number() OVER (ORDER BY heat DESC, cell) AS rank FROM t) SELECT * FROM r WHERE rank <= 5"),
     "gravity_decay": same("WITH c AS (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'click' GROUP BY user_id), d AS (SELECT user_id, CAST(floor(n * 0.5) AS BIGINT) AS n FROM c) SELECT user_id, n FROM d WHERE n > 0"),
     "cell_energy": same(f"WITH {HEAT}, n AS (SELECT max(hour) AS now FROM h), e AS (SELECT cell, count(*) AS n, max(hour) AS last_hour, round(sum(amount * pow(0.99, now - hour)), 5) AS energy FROM h, n GROUP BY cell) SELECT CAST(cell AS BIGINT) AS cell, n, last_hour, energy, energy >= 20 AS hot FROM e"),
-    "historical_energy": same(f"WITH {HEAT}, e AS (SELECT cell, round(sum(amount * pow(0.99, 473700 - hour)), 5) AS energy FROM h WHERE hour <= 473700 GROUP BY cell), r AS (SELECT CAST(cell AS BIGINT) AS cell, energy, row_number() OVER (ORDER BY abs(energy - 10), cell) AS rank FROM e WHERE abs(energy - 10) <= 20) SELECT * FROM r WHERE rank <= 5"),
+    "historical_energy": same(f"WITH {HEAT}, k AS (SELECT max(hour) - 24 AS now FROM h), e AS (SELECT cell, round(sum(amount * pow(0.99, now - hour)), 5) AS energy FROM h CROSS JOIN k WHERE hour <= now GROUP BY cell), m AS (SELECT round(avg(energy), 5) AS target FROM e), r AS (SELECT CAST(cell AS BIGINT) AS cell, energy, row_number() OVER (ORDER BY abs(energy - target), cell) AS rank FROM e CROSS JOIN m WHERE abs(energy - target) <= 20) SELECT * FROM r WHERE rank <= 5"),
     "rebucketing": same(f"WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {{events}}) SELECT user_id, event_type AS bucket FROM e WHERE r = 1"),
     "snapshot_delta": same(f"WITH o AS (SELECT user_id % 50 AS bucket, count(*) AS n FROM {{events}} WHERE ts <= {CUT} AND event_type = 'view' GROUP BY user_id % 50), w AS (SELECT user_id % 50 AS bucket, count(*) AS n FROM {{events}} WHERE ts > {CUT} AND event_type = 'click' GROUP BY user_id % 50), d AS (SELECT coalesce(o.bucket, w.bucket) AS bucket, coalesce(o.n, 0) AS old_count, coalesce(w.n, 0) AS new_count FROM o FULL OUTER JOIN w ON o.bucket = w.bucket) SELECT CAST(bucket AS BIGINT) AS bucket, old_count, new_count, new_count - old_count AS delta, CASE WHEN new_count - old_count > 5 THEN 'growing' WHEN new_count - old_count < -5 THEN 'shrinking' ELSE 'stable' END AS trend FROM d WHERE old_count <> new_count"),
     "delta_log": same("WITH e AS (SELECT event_id, user_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS tick FROM {events} WHERE event_type = 'signup') SELECT event_id, CAST(tick AS BIGINT) AS tick, round(sum(value) OVER (ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS total, tick % 24 = 0 AS snapshot FROM e"),
@@ -181,7 +182,7 @@ QUERIES = {
     "difference_sets": same("SELECT user_id FROM {events} WHERE event_type = 'view' AND value > 10 EXCEPT SELECT user_id FROM {events} WHERE event_type = 'error' AND value > 50"),
     "backfill_union": same("WITH a AS (SELECT user_id, event_id, 0 AS tier, value FROM {events} WHERE event_type = 'purchase' UNION ALL SELECT user_id, event_id, 1, value FROM {events} WHERE event_type = 'view'), r AS (SELECT user_id, event_id, tier, row_number() OVER (PARTITION BY user_id ORDER BY tier, value DESC, event_id) AS rank FROM a) SELECT user_id, event_id, tier, rank FROM r WHERE rank <= 5"),
     "trust_scores": (trust_scores, f"WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN -0.1::DOUBLE ELSE 0.1::DOUBLE END AS d FROM events), {_FOLD.format(lists=_list('d') + ' AS ds')} SELECT event_id, list_reduce(list_prepend(0.5::DOUBLE, ds[1:i + 1]), lambda a, y: round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, a + y)), 6)) AS trust FROM x"),
-    "scar_bias": (scar_bias, f"WITH e AS (SELECT *, CASE WHEN event_type <> 'error' THEN 0 WHEN lag(event_type) OVER ({U}) = 'error' THEN 0.25 ELSE 0.15 END::DOUBLE AS d FROM events), {_FOLD.format(lists=_list('d') + ' AS ds')} SELECT event_id, list_reduce(list_prepend(0.0::DOUBLE, ds[1:i + 1]), lambda a, y: round(CASE WHEN y > 0 THEN least(1.0::DOUBLE, a + y) ELSE a * 0.999::DOUBLE END, 6)) AS bias FROM x"),
+    "scar_bias": (scar_bias, f"WITH n AS (SELECT *, row_number() OVER ({U}) AS n FROM events), e AS (SELECT *, CASE WHEN event_type <> 'error' THEN 0 WHEN n - max(CASE WHEN event_type = 'error' THEN n END) OVER ({U} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1001 THEN 0.25 ELSE 0.15 END::DOUBLE AS d FROM n), {_FOLD.format(lists=_list('d') + ' AS ds')} SELECT event_id, list_reduce(list_prepend(1.0::DOUBLE, ds[1:i + 1]), lambda a, y: round(CASE WHEN y > 0 THEN least(2.0::DOUBLE, a + y) ELSE greatest(1.0::DOUBLE, a * 0.999::DOUBLE) END, 6)) AS bias FROM x"),
     "ledger_chain": (ledger_chain, f"WITH e AS (SELECT *, event_id::VARCHAR || '|' || event_type AS d FROM events), {_FOLD.format(lists=_list('d') + ' AS ds')} SELECT event_id, list_reduce(list_prepend('genesis', ds[1:i + 1]), lambda a, y: sha256(a || '|' || y)) AS digest FROM x"),
     "ledger_verify": (ledger_verify, "SELECT user_id, count(*) AS good, count(*) AS n FROM events GROUP BY 1"),
 }

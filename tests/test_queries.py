@@ -31,6 +31,9 @@ def test_query_equals_sql(spark, duck, name):
     run, sql = QUERIES[name]
     df = run(spark, SF)
     columns = sorted(df.columns)
+    if sql is None:  # trained by rounds over all rows: test_models.py compares it with numpy
+        assert df.count() > 0
+        return
     got = [tuple(r[c] for c in columns) for r in df.collect()]
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
     assert normal(got) == normal(want)
@@ -64,4 +67,4 @@ def test_entry_works_without_the_llm_folders(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py"))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True)
-    assert out.stdout.split() == [str(len(QUERIES))] * 2, out.stderr
+    assert out.stdout.split() == [str(len(QUERIES)), str(sum(sql is not None for _, sql in QUERIES.values()))], out.stderr
