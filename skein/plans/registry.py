@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import algebra, codec, documents, fingerprints, graph, hologram, opq, residual, scores, spectral, state, telemetry
+from ..operators import algebra, codec, documents, fingerprints, graph, hologram, opq, phrases, residual, scores, spectral, state, telemetry
 
-QUERIES = fingerprints.QUERIES | algebra.QUERIES | scores.QUERIES | codec.QUERIES | graph.QUERIES | hologram.QUERIES | opq.QUERIES | residual.QUERIES | spectral.QUERIES | documents.QUERIES | telemetry.QUERIES | state.QUERIES
+QUERIES = fingerprints.QUERIES | algebra.QUERIES | scores.QUERIES | codec.QUERIES | graph.QUERIES | hologram.QUERIES | opq.QUERIES | residual.QUERIES | spectral.QUERIES | documents.QUERIES | phrases.QUERIES | telemetry.QUERIES | state.QUERIES
 
 
 def queries() -> dict:
