@@ -296,15 +296,16 @@ def gap_best(spark, sf_dir):
     return search(lambda q, x: np.round(tiles.pap_distance(q, x) * tiles.pap_distance(~q, x), 6), 1, False)(spark, sf_dir).select("query_id", "doc_id", "score")
 
 
-def wedge(q, x):
+def wedge(a, b):
     """(Hamming - shared bits) over the larger count, held within -1 and 1; 0 for equal or empty sides."""
-    apart, most = tiles.hamming(q, x), np.maximum(tiles.sizes(q)[:, None], tiles.sizes(x))
-    return np.where((apart == 0) | (most == 0), 0.0, np.clip((apart - tiles.shared(q, x)) / np.maximum(most, 1), -1, 1))
+    most = F.greatest(bits.popcount(a), bits.popcount(b))
+    raw = (bits.hamming(a, b) - bits.both(a, b)) / most
+    return F.when((bits.hamming(a, b) == 0) | (most == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
 def wedge_novelty(spark, sf_dir):
     """The most novel row of each query, if any is novel at all."""
-    return search(lambda q, x: np.round(np.maximum(0, wedge(q, x)), 6), 1, False)(spark, sf_dir).where("score > 0").select("query_id", "doc_id", "score")
+    return search(lambda q, x: np.round(np.maximum(0, tiles.wedge(q, x)), 6), 1, False)(spark, sf_dir).where("score > 0").select("query_id", "doc_id", "score")
 
 
 def gap_bonus(spark, sf_dir):

@@ -165,6 +165,12 @@ def pap_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(neither, 0.0, 1 - pap_similarity(q, x))
 
 
+def wedge(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(Hamming - shared bits) over the larger count, held within -1 and 1; 0 for equal or empty sides."""
+    apart, most = hamming(q, x), np.maximum(sizes(q)[:, None], sizes(x))
+    return np.where((apart == 0) | (most == 0), 0.0, np.clip((apart - shared(q, x)) / np.maximum(most, 1), -1, 1))
+
+
 def word_columns(h: DataFrame) -> DataFrame:
     """doc_id and the words of the rows that have them."""
     return h.select(h.columns[0], *WORDS).where(F.col(WORDS[0]).isNotNull() & F.col(h.columns[0]).isNotNull())
