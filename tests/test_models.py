@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from skein.functions import encode
-from skein.operators import codec, fingerprints, graph, opq, quantise, spectral, tiles
+from skein.operators import codec, fingerprints, graph, opq, quantise, scores, spectral, tiles
+from skein.plans.registry import QUERIES
 
 from .conftest import SF
 
@@ -237,3 +238,18 @@ def test_graph_of_equal_rows_and_of_nothing(spark):
     assert max(r["count"] for r in kept) <= 2
     none = h.where("false")
     assert graph.pruned(graph.neighbours(none, 0), none).collect() == []
+
+
+def test_queries_of_many_groups_and_parts(spark, monkeypatch):
+    """Queries are dealt to groups of their own bound, and fewer where many rows are handed on; found rows are thinned while they are many."""
+    monkeypatch.setattr(tiles, "ASK", 7)
+    monkeypatch.setattr(tiles, "PART_ROWS", 16)
+    r = np.random.default_rng(2)
+    x = r.integers(-3, 4, (300, 5)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    q = rows.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "q_id")
+    at = np.arange(0, 300, 3)
+    want = dict(zip(at.tolist(), exact(x[at], x, np.arange(300), at, 5), strict=True))
+    assert found(tiles.nearest(rows, q, 5, tiles.l2_sq, True, True)) == want
+    monkeypatch.setattr(tiles, "FOUND", 50)
+    assert found(tiles.nearest(rows, q, 5, tiles.l2_sq, True, True)) == want
