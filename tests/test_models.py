@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from skein.functions import encode
-from skein.operators import codec, fingerprints, graph, opq, quantise, scores, spectral, tiles
+from skein.operators import algebra, codec, fingerprints, graph, opq, phrases, quantise, scores, spectral, state, tiles
 from skein.plans.registry import QUERIES
 
 from .conftest import SF
@@ -259,3 +259,14 @@ def test_queries_of_many_groups_and_parts(spark, monkeypatch):
 def test_searches_meet_in_tiles(spark, name):
     """No pair of a query and a row is a row of a join: both sides meet in groups of bounded size."""
     assert "FlatMapCoGroupsInArrow" in QUERIES[name][0](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_residue_agreement_gives_every_row_in_agreement(spark):
+    h = algebra.words(spark, SF).orderBy("doc_id").toPandas()
+    ids, octets = h["doc_id"].to_numpy(), h["h0"].to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)
+    fold = lambda row, b: sum(int(x) * b ** (7 - i) for i, x in enumerate(row)) % b
+    c = {b: np.array([fold(r, b) for r in octets]) for b in algebra.BASES}
+    near = lambda b, i: np.minimum(np.abs(c[b] - c[b][i]), b - np.abs(c[b] - c[b][i])) <= 1
+    want = {(int(ids[i]), int(d)) for i in asked(ids) for d in ids[np.all([near(b, i) for b in algebra.BASES], axis=0)] if d != ids[i]}
+    got = [(r.query_id, r.doc_id) for r in algebra.residue_agreement(spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
