@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import vectors
 from . import tiles
+from .fingerprints import asked
 from .topk import topk
 
 SUBSPACES, WIDTH, CODES, ROUNDS = 8, 8, 256, 10  # fixed values: codes and rounds
@@ -124,22 +125,14 @@ def decoded(codes: DataFrame, book: np.ndarray) -> DataFrame:
     return codes.mapInArrow(run, "doc_id long, embedding array<double>")
 
 
-def adc_topk(v: DataFrame, book: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, doc_id, score: the k nearest codes of each query by its table of distances to all words (as many numbers as the book has words), in tiles."""
-    subspaces, codes, width = book.shape
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, rows = matrix(b, "q_embedding")
-            luts = [((own.reshape(subspaces, 1, width) - book) ** 2).sum(axis=2).ravel().tolist() for own in x]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(luts, pa.list_(pa.float64()))], ["q_id", "q_lut"])
+def made(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The vectors that rows of codes stand for."""
+    return np.hstack([book[j][own] for j, own in enumerate(codes.astype(np.int64).T)])
 
-    def score(lut: np.ndarray, own: np.ndarray) -> np.ndarray:
-        own = own.astype(np.int64)
-        return np.round(sum(lut[:, j * codes + own[:, j]] for j in range(subspaces)), 6)
 
-    q = queries.select("q_id", "q_embedding").mapInArrow(run, "q_id long, q_lut array<double>")
-    return tiles.nearest(coded(v, book), q, k, score, True, True, v.count())
+def adc_topk(v: DataFrame, book: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, doc_id, score: the k nearest codes of each query by the distance of its vector to what the codes' words make, which is the sum over subspaces of the distances to the words. Codes and queries alone are shuffled; a tile makes the vectors of a part at a time."""
+    return tiles.nearest(coded(v, book), queries.select("q_id", "q_embedding"), k, lambda q, own: np.round(tiles.l2_sq(q, made(own, book)), 6), True, True, v.count())
 
 
 # --- cells -----------------------------------------------------------------------------------------------------

@@ -270,3 +270,13 @@ def test_residue_agreement_gives_every_row_in_agreement(spark):
     want = {(int(ids[i]), int(d)) for i in asked(ids) for d in ids[np.all([near(b, i) for b in algebra.BASES], axis=0)] if d != ids[i]}
     got = [(r.query_id, r.doc_id) for r in algebra.residue_agreement(spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_product_searches_shuffle_vectors_and_codes(spark, monkeypatch):
+    """A query goes to tiles as its vector, not as a table of distances to all words."""
+    sides = []
+    monkeypatch.setattr(tiles, "nearest", lambda rows, queries, *rest: sides.append((rows.dtypes, queries.dtypes)) or rows)
+    book = np.zeros((2, 3, 1))
+    v = spark.createDataFrame([(20, [1.0, 2.0])], "doc_id long, embedding array<float>")
+    quantise.adc_topk(v, book, fingerprints.asked(v), 5)
+    assert sides == [([("doc_id", "bigint"), ("codes", "array<int>")], [("q_id", "bigint"), ("q_embedding", "array<float>")])]
