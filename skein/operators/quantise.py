@@ -114,27 +114,17 @@ def coded(v: DataFrame, book: np.ndarray) -> DataFrame:
     return v.select("doc_id", "embedding").mapInArrow(run, "doc_id long, codes array<int>")
 
 
-def decoded(codes: DataFrame, book: np.ndarray) -> DataFrame:
-    """doc_id and the vector that a row's words make."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [np.concatenate([book[j][c] for j, c in enumerate(row)]).tolist() for row in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "embedding"])
-
-    return codes.mapInArrow(run, "doc_id long, embedding array<double>")
-
-
-def made(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """The vectors that rows of codes stand for."""
-    return np.hstack([book[j][own] for j, own in enumerate(codes.astype(np.int64).T)])
-
-
 def adc_topk(v: DataFrame, book: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, doc_id, score: the k nearest codes of each query by the distance of its vector to what the codes' words make, which is the sum over subspaces of the distances to the words. Codes and queries alone are shuffled; a tile makes the vectors of a part at a time."""
     return tiles.nearest(coded(v, book), queries.select("q_id", "q_embedding"), k, lambda q, own: np.round(tiles.l2_sq(q, made(own, book)), 6), True, True, v.count())
 
 
+def symmetric_topk(v: DataFrame, book: np.ndarray, k: int) -> DataFrame:
+    """query_id, rank, doc_id, score: the k nearest codes of each stated query's code, by the words of both."""
+    c = coded(v, book)
+    return tiles.nearest(c, asked(c), k, lambda q, own: np.round(tiles.l2_sq(made(q, book), made(own, book)), 6), True, True, v.count())
+
+
 # --- cells -----------------------------------------------------------------------------------------------------
 
 

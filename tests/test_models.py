@@ -279,4 +279,6 @@ def test_product_searches_shuffle_vectors_and_codes(spark, monkeypatch):
     book = np.zeros((2, 3, 1))
     v = spark.createDataFrame([(20, [1.0, 2.0])], "doc_id long, embedding array<float>")
     quantise.adc_topk(v, book, fingerprints.asked(v), 5)
-    assert sides == [([("doc_id", "bigint"), ("codes", "array<int>")], [("q_id", "bigint"), ("q_embedding", "array<float>")])]
+    quantise.symmetric_topk(v, book, 5)
+    codes = [("doc_id", "bigint"), ("codes", "array<int>")]
+    assert sides == [(codes, [("q_id", "bigint"), ("q_embedding", "array<float>")]), (codes, [("q_id", "bigint"), ("q_codes", "array<int>")])]
