@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import vectors
+from ..sources import scratch
 from . import tiles
 from .fingerprints import asked
 from .topk import topk
@@ -19,6 +19,8 @@ from .topk import topk
 SUBSPACES, WIDTH, CODES, ROUNDS = 8, 8, 256, 10  # fixed values: codes and rounds
 SEED_STEP = 7919  # fixed value: the k-th first word is row (k * 7919) % n
 MOST_CELLS, FIRST_PROBES = 4096, 4
+#: Rows of a cell that meet its queries at a time; numbers that a task holds while it measures rows against all centres.
+PART, LEAPS = 16_384, 1 << 22
 
 
 def _with(df: DataFrame, more: str) -> StructType:
@@ -114,6 +116,11 @@ def coded(v: DataFrame, book: np.ndarray) -> DataFrame:
     return v.select("doc_id", "embedding").mapInArrow(run, "doc_id long, codes array<int>")
 
 
+def made(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The vectors that rows of codes stand for."""
+    return np.hstack([book[j][own] for j, own in enumerate(codes.astype(np.int64).T)])
+
+
 def adc_topk(v: DataFrame, book: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, doc_id, score: the k nearest codes of each query by the distance of its vector to what the codes' words make, which is the sum over subspaces of the distances to the words. Codes and queries alone are shuffled; a tile makes the vectors of a part at a time."""
     return tiles.nearest(coded(v, book), queries.select("q_id", "q_embedding"), k, lambda q, own: np.round(tiles.l2_sq(q, made(own, book)), 6), True, True, v.count())
@@ -144,9 +151,10 @@ def celled(v: DataFrame, c: np.ndarray, n: int) -> DataFrame:
     column = "q_embedding" if "q_embedding" in kept else "embedding"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, LEAPS // c.size)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 x, rows = matrix(b, column)
                 if not len(x):
                     continue
@@ -161,18 +169,35 @@ def celled(v: DataFrame, c: np.ndarray, n: int) -> DataFrame:
 def cell_search(v: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, doc_id, score: the k nearest by squared distance, exact.
 
+    Cells and the queries that meet them are dealt to parts of bounded size, so a cell of most rows is no hot group; a part is a
+    tile, which hands on the k best rows of each query that its bound does not rule out.
     A query first meets its FIRST_PROBES nearest cells, by an equi-join; its k-th distance there then rules out every cell whose
     centre is farther than that plus the cell's radius, and it meets the rest."""
     v, queries = v.select("doc_id", "embedding"), queries.select("q_id", "q_embedding")
     c = centres(v)
-    own = celled(v, c, 1)
+    own = scratch.staged(celled(v, c, 1), "cells")
     radius = dict(own.groupBy("cell").agg(F.max("far")).collect())  # at most MOST_CELLS rows
 
+    parts = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    asks = max(1, -(-queries.count() // tiles.GROUP))
+    block = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return tiles.best(np.empty((0, 1)), np.empty(0, np.int64), np.empty((0, 1)), np.empty(0, np.int64), k, tiles.l2_sq, True, True)
+        ids, worst = right["q_id"].to_numpy(), right["worst"].to_numpy()
+        t = tiles.best(tiles.matrix(right["q_embedding"]), ids, tiles.matrix(left["embedding"]), left["doc_id"].to_numpy(), k, tiles.rounded(tiles.l2_sq), True, True)
+        order = np.argsort(ids, kind="stable")
+        return t.filter(pa.array(t["score"].to_numpy() <= worst[order[np.searchsorted(ids, t["query_id"].to_numpy(), sorter=order)]]))
+
     def met(probes: DataFrame) -> DataFrame:
-        j = own.join(probes, "cell").where("q_id <> doc_id")
-        return j.select(F.col("q_id").alias("query_id"), "doc_id", (F.round(vectors.l2_sq(F.col("q_embedding"), F.col("embedding")), 6) + F.lit(0.0)).alias("score"))
+        """probes: q_id, q_embedding, cell and worst, the largest score of use."""
+        rows = own.join(parts, "cell").select("cell", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), block(F.lit(asks)).alias("ask"), "doc_id", "embedding")
+        wants = probes.join(parts, "cell").select("cell", block(F.col("parts")).alias("part"), F.pmod(F.xxhash64("q_id"), F.lit(asks)).cast("int").alias("ask"), "q_id", "q_embedding", "worst")
+        return rows.groupBy("cell", "part", "ask").cogroup(wants.groupBy("cell", "part", "ask")).applyInArrow(tile, "query_id long, doc_id long, score double")
 
-    first = topk(met(celled(queries, c, FIRST_PROBES).drop("far")), k, ["query_id"], [F.asc("score"), F.asc("doc_id")])
+    probes = celled(queries, c, FIRST_PROBES).withColumn("worst", F.lit(float("inf"))).drop("far")
+    first = scratch.staged(topk(met(probes), k, ["query_id"], [F.asc("score"), F.asc("doc_id")]), "cell-first")
     bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("score")).alias("worst")).select(F.col("query_id").alias("q_id"), "worst")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +214,11 @@ def cell_search(v: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 at = np.flatnonzero(may & np.isfinite(reach))
                 if len(at):
                     out = b.slice(row, 1).take(pa.array(np.zeros(len(at), np.int64)))
-                    yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(at)], ["q_id", "q_embedding", "cell"])
+                    most = np.inf if worst[row] is None else worst[row]
+                    yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(at), pa.array(np.full(len(at), most))], ["q_id", "q_embedding", "cell", "worst"])
 
     more = queries.join(bound, "q_id", "left").select("q_id", "q_embedding", "worst")
-    second = met(more.mapInArrow(rest, _with(queries, "cell long"))) if len(c) else first.drop("rank").limit(0)
+    second = met(more.mapInArrow(rest, _with(queries, "cell long, worst double"))) if len(c) else first.drop("rank").limit(0)
     return topk(first.drop("rank").unionByName(second), k, ["query_id"], [F.asc("score"), F.asc("doc_id")])
 
 

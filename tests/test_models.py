@@ -255,7 +255,7 @@ def test_queries_of_many_groups_and_parts(spark, monkeypatch):
     assert found(tiles.nearest(rows, q, 5, tiles.l2_sq, True, True)) == want
 
 
-@pytest.mark.parametrize("name", ["rank_agreement", "poincare_topk", "beacon_cascade", "blend_topk", "grade_weighted_topk", "conformal_topk", "fused_integer_topk", "ternary_pap_topk", "multi_probe", "ternary_topk", "bucket_topk", "lattice_topk", "distribution_distances", "similarity_catalogue"])
+@pytest.mark.parametrize("name", ["rank_agreement", "poincare_topk", "beacon_cascade", "blend_topk", "grade_weighted_topk", "conformal_topk", "fused_integer_topk", "ternary_pap_topk", "multi_probe", "ternary_topk", "bucket_topk", "lattice_topk", "cell_topk", "distribution_distances", "similarity_catalogue"])
 def test_searches_meet_in_tiles(spark, name):
     """No pair of a query and a row is a row of a join: both sides meet in groups of bounded size."""
     assert "FlatMapCoGroupsInArrow" in QUERIES[name][0](spark, SF)._jdf.queryExecution().toString()
