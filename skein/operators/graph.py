@@ -56,7 +56,7 @@ def first_links(h: DataFrame, n: int) -> DataFrame:
     each = h.select("doc_id", F.posexplode(F.array(*W)).alias("t", "word")).withColumn("bucket", F.shiftrightunsigned("word", 64 - width))
     # a bucket of very many rows is split by ranges of nothing but a hash, so equal fingerprints go apart
     parts = each.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / (8 * BUCKET)).cast("int").alias("parts"))
-    each = each.join(parts, ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    each = each.join(merged(parts), ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     w = Window.partitionBy("t", "bucket", "part").orderBy("word", "doc_id")
     ahead = each.select(F.col("doc_id").alias("a"), F.array(*(F.lead("doc_id", i).over(w) for i in range(1, AHEAD + 1))).alias("next"))
     return ahead.select("a", F.explode("next").alias("b")).where("b is not null").distinct()
@@ -66,9 +66,14 @@ def both_ways(e: DataFrame) -> DataFrame:
     return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the rows: it is shuffled, never collected on the driver to be broadcast, however small its files seem."""
+    return side.hint("merge")
+
+
 def measured(e: DataFrame, h: DataFrame) -> DataFrame:
     """a, b, d of distinct pairs (a, b)."""
-    e = e.join(h.select(F.col("doc_id").alias("a"), *W), "a").join(h.select(F.col("doc_id").alias("b"), *(F.col(x).alias(y) for x, y in zip(W, V, strict=True))), "b")
+    e = e.join(merged(h.select(F.col("doc_id").alias("a"), *W)), "a").join(merged(h.select(F.col("doc_id").alias("b"), *(F.col(x).alias(y) for x, y in zip(W, V, strict=True)))), "b")
     return e.select("a", "b", bits.hamming(cols(W), cols(V)).alias("d"))
 
 
@@ -78,8 +83,8 @@ def neighbours(h: DataFrame, n: int, rounds: int = EXCHANGES) -> DataFrame:
     for _ in range(rounds):
         # links in both directions, the nearest LINKS of each row, so that none offers more than that squared
         linked = _nearest(near.select("a", "b", "d").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct(), LINKS).select("a", "b")
-        onward = linked.join(linked.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("a <> c").select("a", F.col("c").alias("b"))
-        offered = measured(onward.distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), h)
+        onward = linked.join(merged(linked.select(F.col("a").alias("b"), F.col("b").alias("c"))), "b").where("a <> c").select("a", F.col("c").alias("b"))
+        offered = measured(onward.distinct().join(merged(near.select("a", "b")), ["a", "b"], "left_anti"), h)
         near = scratch.staged(_nearest(near.select("a", "b", "d").unionByName(offered), NEAR), "graph-near")
     return near
 
@@ -96,7 +101,7 @@ def _kept(d: np.ndarray, w: np.ndarray, alpha: float) -> list[int]:
 
 def pruned(near: DataFrame, h: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Of near (a, rank, b, d, at most some NEAR rows for each a) the diverse edges a, b, d; rows of two neighbours or fewer keep them."""
-    lists = near.join(h.select(F.col("doc_id").alias("b"), *W), "b").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d", "b", F.array(*W).alias("w")))).alias("list"))
+    lists = near.join(merged(h.select(F.col("doc_id").alias("b"), *W)), "b").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d", "b", F.array(*W).alias("w")))).alias("list"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +133,10 @@ def beam(h: DataFrame, graph: DataFrame, queries: DataFrame, k: int, size: int =
         chosen = scratch.staged(_nearest(open_, width, "q_id").select("q_id", "b"), "beam-open")
         if chosen.isEmpty():
             break
-        met = chosen.join(graph.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("q_id", F.col("c").alias("b")).distinct().join(state.select("q_id", "b"), ["q_id", "b"], "left_anti")
-        new = met.join(h.select(F.col("doc_id").alias("b"), *W), "b").join(queries, "q_id").select("q_id", "b", bits.hamming(cols(W), cols([f"q_{w}" for w in W])).alias("d"), F.lit(False).alias("done"))
+        met = chosen.join(merged(graph.select(F.col("a").alias("b"), F.col("b").alias("c"))), "b").select("q_id", F.col("c").alias("b")).distinct().join(merged(state.select("q_id", "b")), ["q_id", "b"], "left_anti")
+        new = met.join(merged(h.select(F.col("doc_id").alias("b"), *W)), "b").join(merged(queries), "q_id").select("q_id", "b", bits.hamming(cols(W), cols([f"q_{w}" for w in W])).alias("d"), F.lit(False).alias("done"))
         now = chosen.select("q_id", "b", F.lit(True).alias("now"))
-        state = scratch.staged(state.join(now, ["q_id", "b"], "left").select("q_id", "b", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")).unionByName(new), "beam")
+        state = scratch.staged(state.join(merged(now), ["q_id", "b"], "left").select("q_id", "b", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")).unionByName(new), "beam")
     found = state.select(F.col("q_id").alias("query_id"), F.col("b").alias("doc_id"), F.col("d").alias("score"))
     return topk(found.where("query_id <> doc_id"), k, ["query_id"], [F.asc("score"), F.asc("doc_id")])
 

@@ -282,3 +282,12 @@ def test_product_searches_shuffle_vectors_and_codes(spark, monkeypatch):
     quantise.symmetric_topk(v, book, 5)
     codes = [("doc_id", "bigint"), ("codes", "array<int>")]
     assert sides == [(codes, [("q_id", "bigint"), ("q_embedding", "array<float>")]), (codes, [("q_id", "bigint"), ("q_codes", "array<int>")])]
+
+
+def test_graph_joins_are_shuffled(spark, monkeypatch):
+    """No side that grows with the rows is collected on the driver to be broadcast."""
+    plans = []
+    keep = graph.scratch.staged
+    monkeypatch.setattr(graph.scratch, "staged", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or keep(df, label))
+    graph.neighbours(keep(graph.words(spark, SF), "graph-words"), 200, 1)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for _, p in plans)
