@@ -40,6 +40,8 @@ def same(text: str) -> tuple[Callable, str]:
     return run, _duck(text)
 
 
+#: Users of a part of a bucket: two parts make a million pairs at most.
+USERS = 1_024
 U = "PARTITION BY user_id ORDER BY ts, event_id"
 #: Telemetry of each quarter of a day, from its events.
 TEL = """t AS (SELECT CAST(floor(EPOCH(ts) / 21600) AS BIGINT) AS tick, round(avg(value) / 5, 6) AS p50_ms, round(max(value) / 9, 6) AS p99_ms,
@@ -128,6 +130,17 @@ _FOLD = "g AS (SELECT user_id, {lists}, list(event_id ORDER BY ts, event_id) AS
 HEAT = """h AS (SELECT user_id % 16 AS cell, value / 100 AS amount, CAST(floor(EPOCH(ts) / 3600) AS BIGINT) AS hour FROM {events})"""
 SPILL = """s AS (SELECT cell, amount, hour FROM h UNION ALL SELECT cell - 1, 0.3 * amount, hour FROM h WHERE cell > 0 UNION ALL SELECT cell + 1, 0.3 * amount, hour FROM h)"""
 CUT = "TIMESTAMP '2024-01-15 00:00:00'"
+def same_bucket_pairs(spark, sf_dir) -> DataFrame:
+    """Every two users of a bucket that have signed up. Buckets are a fixed few, so each is dealt to parts of users, and every two parts meet in a group of their own."""
+    b = table(spark, sf_dir, "events").where("event_type = 'signup' and user_id is not null").select((F.col("user_id") % 25).cast("long").alias("bucket"), F.col("user_id").cast("long").alias("user_id")).distinct()
+    n = b.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0  # of 25 buckets, and as many below 0
+    parts = max(1, -(-n // USERS))
+    b = b.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int"))
+    all_parts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    low, high = b.withColumn("other", all_parts).withColumnRenamed("user_id", "low"), b.withColumnRenamed("part", "other").withColumn("part", all_parts).withColumnRenamed("user_id", "high")
+    return low.join(high.hint("merge"), ["bucket", "part", "other"]).where("low < high").select("bucket", "low", "high")
+
+
 QUERIES = {
     "telemetry_flags": same(f"WITH {TEL} SELECT tick, {_word(_RULES)} AS flags FROM t"),
     "telemetry_adjudication": same(f"WITH {TEL}, d AS (SELECT *, round({DIVERGENCE}, 4) AS divergence FROM t) SELECT tick, divergence, CASE WHEN {_META} THEN 'severe' WHEN divergence > 1.5 THEN 'hard' WHEN divergence > 0.5 THEN 'soft' ELSE 'none' END AS level, CASE WHEN exam > 0 THEN 'G5' WHEN git > 0 THEN 'G9' WHEN cpu_temp > 75 THEN 'G8' WHEN memory_pct > 90 THEN 'G6' WHEN divergence > 1.5 THEN {_HARD} WHEN divergence > 0.5 THEN {_SOFT} ELSE 'none' END AS gear FROM d"),
@@ -169,7 +182,7 @@ QUERIES = {
     "ranking_functions": same("SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS r, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS d, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY value, event_id) AS BIGINT) AS quarter FROM {events}"),
     "range_frames": same("WITH e AS (SELECT event_id, user_id, EPOCH(ts) AS s, value FROM {events}) SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n, round(sum(value) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), 4) AS total FROM e"),
     "interval_join": same("WITH p AS (SELECT user_id, event_id, EPOCH(ts) AS s FROM {events} WHERE event_type = 'purchase'), v AS (SELECT user_id, event_id, EPOCH(ts) AS s FROM {events} WHERE event_type = 'view') SELECT p.event_id, count(v.event_id) AS views FROM p LEFT JOIN v ON p.user_id = v.user_id AND v.s BETWEEN p.s - 172800 AND p.s GROUP BY p.event_id"),
-    "same_bucket_pairs": same("WITH b AS (SELECT DISTINCT user_id % 25 AS bucket, user_id FROM {events} WHERE event_type = 'signup') SELECT CAST(a.bucket AS BIGINT) AS bucket, a.user_id AS low, b.user_id AS high FROM b a JOIN b ON a.bucket = b.bucket AND a.user_id < b.user_id"),
+    "same_bucket_pairs": (same_bucket_pairs, same("WITH b AS (SELECT DISTINCT user_id % 25 AS bucket, user_id FROM {events} WHERE event_type = 'signup') SELECT CAST(a.bucket AS BIGINT) AS bucket, a.user_id AS low, b.user_id AS high FROM b a JOIN b ON a.bucket = b.bucket AND a.user_id < b.user_id")[1]),
     "link_table": same("WITH c AS (SELECT DISTINCT user_id, event_type FROM {events}), n AS (SELECT event_type, count(*) AS users FROM c GROUP BY event_type) SELECT c.user_id, count(*) AS kinds, CAST(sum(users) AS BIGINT) AS reach FROM c JOIN n ON c.event_type = n.event_type GROUP BY c.user_id"),
     "upsert": same(f"WITH n AS (SELECT c_custkey AS k, c_acctbal + 1 AS bal FROM {{customer}} WHERE c_custkey % 3 = 0 UNION ALL SELECT max(c_custkey) + 1, 0.0 FROM {{customer}}) SELECT coalesce(n.k, c.c_custkey) AS k, round(coalesce(n.bal, c.c_acctbal), 2) AS bal, c.c_name IS NULL AS inserted FROM {{customer}} c FULL OUTER JOIN n ON n.k = c.c_custkey"),
     "update_by_key": same("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"),

@@ -291,3 +291,11 @@ def test_graph_joins_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(graph.scratch, "staged", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or keep(df, label))
     graph.neighbours(keep(graph.words(spark, SF), "graph-words"), 200, 1)
     assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for _, p in plans)
+
+
+def test_pairs_of_a_bucket_meet_in_parts(spark, monkeypatch):
+    b = spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'signup'").select("user_id").distinct().toPandas()["user_id"].tolist()
+    monkeypatch.setattr(state, "USERS", 1)
+    got = [tuple(r) for r in state.same_bucket_pairs(spark, SF).collect()]
+    want = {(x % 25, x, y) for x in b for y in b if x < y and x % 25 == y % 25}
+    assert len(got) == len(want) and set(got) == want
