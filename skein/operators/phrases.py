@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch
 from ..sources.tables import table
-from .documents import EVERY, K1, B, counted, docs, postings, terms, wanted
+from .documents import EVERY, K1, B, docs, let, postings, terms, wanted
 from .topk import topk
 
 #: Letters of a prefix; characters of a text that stand in for its title; weights of title and text.
@@ -53,12 +53,13 @@ def prefix_topk(spark, sf_dir) -> DataFrame:
 
 def field_topk(spark, sf_dir) -> DataFrame:
     """BM25 over two columns, title (a text's first characters) and text, a term in the title counting ten times as much; the 10 best."""
-    title, body = terms(F.substring("text", 1, TITLE)), terms(F.col("text"))
-    length = F.greatest(F.size(title), F.lit(0)) + F.greatest(F.size(body), F.lit(0))
-    n, all_dl = docs(spark, sf_dir).agg(F.count(F.lit(1)), F.sum(length)).first()
+    both = F.struct(terms(F.substring("text", 1, TITLE)).alias("h"), terms(F.col("text")).alias("t"))
+    length = lambda d: F.greatest(F.size(d["h"]), F.lit(0)) + F.greatest(F.size(d["t"]), F.lit(0))
+    n, all_dl = docs(spark, sf_dir).agg(F.count(F.lit(1)), F.sum(let(both, length))).first()
     n, all_dl = float(max(n, 1)), float(max(all_dl or 0, 1))
-    weighed = lambda t, w: F.transform(counted(t), lambda p: F.struct(p["term"].alias("term"), (p["tf"] * w).alias("tf")))
-    d = docs(spark, sf_dir).select("doc_id", length.cast("double").alias("dl"), F.explode(F.concat(F.coalesce(weighed(title, WEIGHTS[0]), F.array().cast("array<struct<term:string,tf:double>>")), F.coalesce(weighed(body, WEIGHTS[1]), F.array().cast("array<struct<term:string,tf:double>>")))).alias("p"))
+    # each text is split once, and only the queries' terms, found in a broadcast while their size allows, are counted
+    each = let(both, lambda d: F.struct(length(d).cast("double").alias("dl"), F.concat(F.transform(d["h"], lambda x: F.struct(x.alias("term"), F.lit(WEIGHTS[0]).alias("tf"))), F.transform(d["t"], lambda x: F.struct(x.alias("term"), F.lit(WEIGHTS[1]).alias("tf")))).alias("p")))
+    d = docs(spark, sf_dir).where("text is not null").select("doc_id", each.alias("d")).select("doc_id", "d.dl", F.explode("d.p").alias("p"))
     p = d.select("doc_id", "dl", "p.term", "p.tf").join(wanted(spark, sf_dir), "term").groupBy("query_id", "doc_id", "term").agg(F.max("dl").alias("dl"), F.sum("tf").alias("tf"))
     hits = scratch.staged(p, "field-hits")
     df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("df"))

@@ -299,3 +299,11 @@ def test_pairs_of_a_bucket_meet_in_parts(spark, monkeypatch):
     got = [tuple(r) for r in state.same_bucket_pairs(spark, SF).collect()]
     want = {(x % 25, x, y) for x in b for y in b if x < y and x % 25 == y % 25}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_field_search_counts_only_wanted_terms(spark, monkeypatch):
+    plans = []
+    keep = phrases.scratch.staged
+    monkeypatch.setattr(phrases.scratch, "staged", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, label))
+    phrases.field_topk(spark, SF)
+    assert len(plans) == 1 and "sort_array" not in plans[0]
