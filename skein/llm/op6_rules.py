@@ -1,8 +1,8 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Every document gets its rule statistics from its whole text. A forest of random splits is grown, each tree on a sample of
-its own from all documents that pass the base rules; short mean path lengths mark anomalies. The threshold comes from labelled
-rows of both kinds that pass the base rules: the score at which the share of bad ones caught exceeds that of good ones
+its own from all documents that pass the base rules; short mean path lengths mark anomalies. The threshold comes from all
+labelled rows of both kinds that pass the base rules, by how many have each score: the score at which the share of bad ones caught exceeds that of good ones
 lost by most.
 
 Results: a null or empty text has zeros and fails the base rules; without rows labelled bad the threshold is the lowest
@@ -26,6 +26,8 @@ SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_lines"]
 #: Trees of the forest and the documents that each is grown on.
 TREES, TREE_ROWS = 100, 256
+#: Digits to which scores are rounded for the threshold.
+DIGITS = 5
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("0") : ord("9") + 1] = 2
@@ -135,37 +137,53 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(float(average_path(self.rows)), 1e-9))
 
 
-def _sample(stats: DataFrame, most: int, *more: str) -> dict[str, np.ndarray]:
+def _sample(stats: DataFrame, most: int) -> dict[str, np.ndarray]:
     """At most `most` of the rows, in the order of the hash of doc_id."""
     picked = common.hash_share(stats, F.xxhash64("doc_id"), most, stats.count())
-    got = picked.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(most).select(*STATS, *more).toPandas()
-    return {s: got[s].to_numpy() for s in (*STATS, *more)}
+    got = picked.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(most).select(*STATS).toPandas()
+    return {s: got[s].to_numpy() for s in STATS}
 
 
-def cut(good: np.ndarray, bad: np.ndarray, max_good_lost: float) -> float:
-    """The highest score that is kept, from those of good and bad rows; of equal cuts that which keeps most."""
-    good = np.sort(good)
+def cut(good: np.ndarray, bad: np.ndarray, max_good_lost: float, good_n: np.ndarray | None = None, bad_n: np.ndarray | None = None) -> float:
+    """The highest score that is kept, from those of good and bad rows and how many rows have each (one, if not given); of equal cuts that which keeps most."""
     if not len(good):
         return 1.0
-    if not len(bad):
-        return float(good[min(len(good) - 1, int(np.ceil((1 - max_good_lost) * len(good))))])
+
+    def up_to(x: np.ndarray, n: np.ndarray | None):
+        """Rows at or below each of some scores."""
+        order = np.argsort(x, kind="stable")
+        total = np.append(0, np.cumsum(np.ones(len(x), np.int64) if n is None else n[order]))
+        return lambda at: total[np.searchsorted(x[order], at, "right")]
+
+    goods, bads = up_to(good, good_n), up_to(bad, bad_n)
     at = np.unique(np.concatenate([good, bad, [1.0]]))
-    merit = np.searchsorted(good, at, "right") / len(good) - np.searchsorted(np.sort(bad), at, "right") / len(bad)
+    if not len(bad):
+        n = goods(np.inf)
+        return float(at[np.searchsorted(goods(at), min(n - 1, int(np.ceil((1 - max_good_lost) * n))), "right")])
+    merit = goods(at) / goods(np.inf) - bads(at) / bads(np.inf)
     return float(at[np.flatnonzero(merit == merit.max())[-1]])
 
 
-def judge(docs: DataFrame, labels: DataFrame, label_docs: int = 20_000, max_good_lost: float = 0.002) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, max_good_lost: float = 0.002) -> DataFrame:
     """doc_id, STATS, base_failed, anomaly and kept for every row of docs.
 
-    label_docs bounds the labelled rows (by the hash of doc_id) that the threshold is fitted on; max_good_lost counts only if no row is labelled bad."""
+    max_good_lost counts only if no row is labelled bad."""
     spark = docs.sparkSession
     stats = common.staged(rule_statistics(docs), "rule-statistics")
     passed = stats.where(~F.col("base_failed"))
     forest = Forest(features(_sample(passed, TREES * TREE_ROWS)))
     rated = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
-    known = _sample(passed.join(rated, "doc_id"), label_docs, "quality")
-    scores = forest.scores(features(known))
-    threshold = cut(scores[known["quality"] == 1], scores[known["quality"] == 0], max_good_lost)
+    grown = spark.sparkContext.broadcast(forest)  # 100 trees of at most 511 nodes
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = grown.value.scores(features({s: b.column(i).to_numpy() for i, s in enumerate(STATS)}))
+            yield pa.RecordBatch.from_arrays([b.column(len(STATS)), pa.array(np.round(score, DIGITS))], ["quality", "score"])
+
+    # every labelled row counts: at most 2 * 10 ** DIGITS + 2 sums reach the driver
+    known = passed.join(rated, "doc_id").select(*STATS, "quality").mapInArrow(marks, "quality int, score double").groupBy("quality", "score").count().toPandas()
+    good, bad = (known[known["quality"] == q] for q in (1, 0))
+    threshold = cut(good["score"].to_numpy(), bad["score"].to_numpy(), max_good_lost, good["count"].to_numpy(), bad["count"].to_numpy())
     shared = spark.sparkContext.broadcast((forest, threshold))  # 100 trees of at most 511 nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +191,7 @@ def judge(docs: DataFrame, labels: DataFrame, label_docs: int = 20_000, max_good
         for b in batches:
             score = forest.scores(features({s: b.column(b.schema.get_field_index(s)).to_numpy() for s in STATS}))
             failed = b.column(b.schema.get_field_index("base_failed")).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array(~failed & (score <= threshold))], [*b.schema.names, "anomaly", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array(~failed & (np.round(score, DIGITS) <= threshold))], [*b.schema.names, "anomaly", "kept"])
 
     return stats.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in stats.dtypes) + ", anomaly double, kept boolean")
 

@@ -503,3 +503,13 @@ def test_rows_that_share_a_doc_id_fill_all_batches_and_shards(spark, tmp_path):
     finally:
         batches.gathered = gathered
     assert out.where("n_removed > 0").count() == 0 and seen[0][0] > 20 and seen[0][1] > 0.8 * seen[0][0]
+
+
+def test_op6_threshold_counts_every_labelled_row():
+    """Scores with the rows that have each give the cut of the rows themselves, with bad ones and without."""
+    r = np.random.default_rng(8)
+    good, bad = np.array([0.1, 0.3, 0.4, 0.6]), np.array([0.3, 0.5, 0.6, 0.7])
+    for _ in range(20):
+        n, m = r.integers(1, 9, 4), r.integers(1, 9, 4)
+        assert op6_rules.cut(good, bad, 0.1, n, m) == op6_rules.cut(np.repeat(good, n), np.repeat(bad, m), 0.1)
+        assert op6_rules.cut(good, bad[:0], 0.1, n, m[:0]) == np.sort(np.repeat(good, n))[min(n.sum() - 1, int(np.ceil(0.9 * n.sum())))]
