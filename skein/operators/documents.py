@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from .topk import topk
 
 K1, B = 1.2, 0.75  # the defaults of SQLite's FTS5
 EVERY = 20
+#: Bytes of text of a part whose bigrams one task counts.
+PART = 16 << 20
 #: Words that a title's index leaves out (fixed values).
 STOP_WORDS = """the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would could should may might must shall
 can need dare ought used pdf hal arxiv et al using based via we this that these those i you he she it they them their our its as all any both each few more
@@ -91,9 +95,18 @@ def bigrams(t: Column) -> Column:
     return let(t, lambda t: F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.concat_ws(" ", F.get(t, i), F.get(t, i + 1)))))
 
 
+def dealt(text: DataFrame) -> tuple[DataFrame, int]:
+    """Texts with their part, a Spark partition each, and how many parts there are: a part has about PART bytes, or one longer text."""
+    parts = max(1, math.ceil((text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PART))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    return text.withColumn("id", F.monotonically_increasing_id()).select("text", part.alias("part")).repartitionById(parts, F.col("part")), parts
+
+
 def bigram_counts(spark, sf_dir):
-    g = docs(spark, sf_dir).select(F.explode(bigrams(terms(F.col("text")))).alias("bigram"))
-    return g.groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    """Bigrams found five times or more. Each part of the texts is counted on its own, and as many parts of the bigrams add up: a larger table has more parts, not larger ones."""
+    text, parts = dealt(docs(spark, sf_dir).where("text is not null").select("text"))
+    g = text.select("part", F.explode(bigrams(terms(F.col("text")))).alias("bigram")).groupBy("part", "bigram").agg(F.count(F.lit(1)).alias("n"))
+    return g.repartition(parts, "bigram").groupBy("bigram").agg(F.sum("n").alias("n")).where("n >= 5")
 
 
 def trigram_counts(spark, sf_dir):

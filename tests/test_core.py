@@ -1,13 +1,14 @@
 """Hand-computed cases, encoders against plain loops, sources and sinks, streams against batches, SQL functions, recall, and tables with nulls or nothing in them."""
 
 import sqlite3
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import bits, encode, text_hash
-from skein.operators import algebra, fingerprints, quantise, state
+from skein.operators import algebra, documents, fingerprints, quantise, state
 from skein.operators.components import components
 from skein.plans import sql
 from skein.plans.registry import QUERIES
@@ -299,3 +300,41 @@ def test_odd_and_empty_tables(spark, odd, name, kind):
     assert kind == "odd" or not rows
     if kind == "odd" and name == "cosine_topk":
         assert {r.doc_id for r in rows} <= {0, 20, 40, 41}
+
+
+TEXTS = {n: [f"common pair w{i} x{i % (n // 4)} y{i % (n // 8)}" for i in range(n)] * 2 + [None, "", "one", "common pair " * 500] for n in (100, 400)}
+
+
+def written(spark, folder, texts):
+    """The folder, with the texts as a table of one file."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_bigrams_of_more_text_are_counted_in_more_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "PART", 4_000, raising=False)
+    parts = []
+    for n, texts in TEXTS.items():
+        got = documents.bigram_counts(spark, written(spark, tmp_path / str(n), texts))
+        want = Counter(f"{a} {b}" for t in texts if t for a, b in zip(t.split(), t.split()[1:]))
+        assert {r.bigram: r.n for r in got.collect()} == {k: v for k, v in want.items() if v >= 5}
+        parts.append(got.rdd.getNumPartitions())
+    assert parts[1] > 1.5 * parts[0] > 1.5
+
+
+def test_texts_are_dealt_to_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "PART", 4_000)
+    for n, texts in TEXTS.items():
+        text, parts = documents.dealt(documents.docs(spark, written(spark, tmp_path / str(n), texts)).select("text"))
+        rows = text.select("part", "text", F.spark_partition_id().alias("at")).collect()
+        assert sorted(r.text or "" for r in rows) == sorted(t or "" for t in texts)
+        size = Counter()
+        for r in rows:
+            size[r.part] += len(r.text or "")
+        assert max(size.values()) < 2 * documents.PART + max(len(t or "") for t in texts)
+        assert all(r.at == r.part < parts for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_bigrams_of_odd_and_empty_tables(spark, odd, kind):
+    assert documents.bigram_counts(spark, odd[kind]).collect() == []
