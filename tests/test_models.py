@@ -307,3 +307,53 @@ def test_field_search_counts_only_wanted_terms(spark, monkeypatch):
     monkeypatch.setattr(phrases.scratch, "staged", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, label))
     phrases.field_topk(spark, SF)
     assert len(plans) == 1 and "sort_array" not in plans[0]
+
+
+def test_all_pairs_in_many_tiles_and_blocks(spark, monkeypatch):
+    """Every pair once, its values in the stated order within a block; rows are not shuffled once for every few queries."""
+    for name, n in {"PAIR_ROWS": 70, "PAIR_ASKS": 30, "PART_ROWS": 32, "PAIRS": 400, "HANDED": 90, "PART_QUERIES": 8, "LEAST": 1000}.items():
+        monkeypatch.setattr(tiles, name, n)
+    r = np.random.default_rng(8)
+    x = r.integers(-3, 4, (300, 5)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    q = rows.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "q_id")
+    measure = lambda a, b: {"dot": a @ b.T, "gap": np.abs(a[:, None] - b).sum(axis=2)}
+    got = tiles.all_pairs(rows, q, {"dot": "double", "gap": "double"}, measure, by="dot").collect()
+    want = {(a, b): (x[a] @ x[b], np.abs(x[a] - x[b]).sum()) for a in range(0, 300, 3) for b in range(300)}
+    assert len(got) == len(want) and {(g.query_id, g.doc_id): (g.dot, g.gap) for g in got} == want
+    near = tiles.all_pairs(rows, q, {"dot": "double", "gap": "double"}, measure, lambda a, b, m: (m["gap"] < 6) & (a != b)).collect()
+    assert {(g.query_id, g.doc_id) for g in near} == {k for k, v in want.items() if v[1] < 6 and k[0] != k[1]} and len(near) == len({(g.query_id, g.doc_id) for g in near})
+
+
+@pytest.mark.parametrize("name", ["distribution_distances", "similarity_catalogue"])
+def test_pairs_shuffle_sides_and_not_copies(spark, monkeypatch, name):
+    """A tile's size is not bound by the pairs that it hands on: at 1 GB (102,564 rows, 5,129 queries) a row is shuffled once, a query a few dozen times."""
+    asked_for = []
+    keep = tiles.met
+    monkeypatch.setattr(tiles, "met", lambda rows, queries, groups, asks, *rest: asked_for.append((groups, asks)) or keep(rows, queries, groups, asks, *rest))
+    counts = iter([102_564, 5_129])
+    v = tiles.usable(fingerprints.vectors_of(spark, SF).select("doc_id", "embedding"))
+    monkeypatch.setattr(type(v), "count", lambda df: next(counts))
+    getattr(scores, name)(spark, SF)
+    assert asked_for[0][1] == 1 and asked_for[0][0] <= 36
+
+
+def test_pairs_of_a_block_lie_by_value(spark, monkeypatch):
+    """So equal values lie together in files."""
+    monkeypatch.setattr(tiles, "LEAST", 10_000)
+    near = [r.affinity for r in scores.distribution_distances(spark, SF).collect()]
+    assert near == sorted(near)
+
+
+def test_distances_of_shares_that_are_zero():
+    """No share at all in one or both of two vectors adds nothing that is not a number; a zero vector has no distances."""
+    got = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(scores, "pairs", lambda spark, sf_dir, names, measure, by: got.update(measure=measure))
+        scores.distribution_distances(None, None)
+    q = np.array([[1.0, 0, 0, 0], [0.6, 0.8, 0, 0], [0.0, 0, 0, 0]])
+    out = got["measure"](q, q)
+    a, b = np.array([1, 0]), np.array([0.36, 0.64])
+    js = (np.log2(2 / 1.36) + 0.36 * np.log2(0.72 / 1.36) + 0.64 * np.log2(2)) / 2
+    assert np.allclose(out["jensen_shannon"][:2, :2], [[0, js], [js, 0]], atol=1e-6) and np.allclose(out["chi_square"][0, 1], ((a - b) ** 2 / (a + b)).sum(), atol=1e-6)
+    assert np.isnan(out["jensen_shannon"][2]).all() and np.isnan(out["chi_square"][:, 2]).all()
