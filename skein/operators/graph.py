@@ -2,13 +2,14 @@
 
 Building. Each row first links to the next rows in its bucket of each word, buckets being as many as keep them small and
 split where one is large. A round of exchange then offers each row the neighbours of its neighbours, over links in both
-directions, and keeps its NEAR nearest; a few rounds find nearly all true neighbours without ever comparing all pairs. Of
+directions, and keeps its NEAR nearest: candidates are measured before they are shuffled, and only those that can still be
+among the nearest are. A few rounds find nearly all true neighbours without ever comparing all pairs. Of
 these, greedy pruning keeps those that no kept one is closer to (diverse edges); a row's MOST nearest edges in either
 direction are the graph, so a row that many choose is no hub.
 
 Searching. Every query starts at its nearest of SEEDS rows (a sample of bounded size, in tiles). A round expands its WIDTH
-best open rows among the BEAM best so far, by a join with the edges, drops those that it has met (all rows it ever met are
-its state), and measures the rest. It ends when no query has an open row among its best, or after ROUNDS. The state is
+best open rows among the BEAM best so far, by a join with the edges, drops those that are among them, measures the rest, and
+keeps the BEAM best (its state). It ends when no query has an open row among its best, or after ROUNDS. The state is
 written after each round.
 
 Every step is a join, an aggregation or a window limit on (row) or (query, row); what a row takes part in is bounded by
@@ -22,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ from .topk import topk
 NEAR, LINKS, EXCHANGES, BUCKET, AHEAD = 16, 24, 4, 64, 6
 #: Edges of a row in the graph; how strict pruning is.
 MOST, ALPHA = 24, 1.0
+#: Pairs of neighbours that pruning compares at a time.
+PRUNED = 1 << 17
 SEEDS, ENTRIES, BEAM, WIDTH, ROUNDS = 256, 8, 64, 8, 24
 
 V = [f"v_{w}" for w in W]
@@ -51,19 +55,21 @@ def _nearest(pairs: DataFrame, k: int, of: str = "a", to: str = "b") -> DataFram
 
 
 def first_links(h: DataFrame, n: int) -> DataFrame:
-    """a, b: each row with the next AHEAD rows of its bucket of each word, in the order of that word."""
+    """a, b, d: each row with the next AHEAD rows of its bucket of each word, in the order of that word."""
     width = max(1, min(60, int(math.log2(max(2, n / BUCKET)))))
-    each = h.select("doc_id", F.posexplode(F.array(*W)).alias("t", "word")).withColumn("bucket", F.shiftrightunsigned("word", 64 - width))
+    each = h.select("doc_id", *W, F.posexplode(F.array(*W)).alias("t", "word")).withColumn("bucket", F.shiftrightunsigned("word", 64 - width))
     # a bucket of very many rows is split by ranges of nothing but a hash, so equal fingerprints go apart
     parts = each.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / (8 * BUCKET)).cast("int").alias("parts"))
     each = each.join(merged(parts), ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     w = Window.partitionBy("t", "bucket", "part").orderBy("word", "doc_id")
-    ahead = each.select(F.col("doc_id").alias("a"), F.array(*(F.lead("doc_id", i).over(w) for i in range(1, AHEAD + 1))).alias("next"))
-    return ahead.select("a", F.explode("next").alias("b")).where("b is not null").distinct()
+    row = F.struct(F.col("doc_id").alias("b"), *(F.col(x).alias(y) for x, y in zip(W, V, strict=True)))
+    ahead = each.select(F.col("doc_id").alias("a"), *W, F.array(*(F.lead(row, i).over(w) for i in range(1, AHEAD + 1))).alias("next"))
+    return ahead.select("a", *W, F.inline("next")).where("b is not null").select("a", "b", bits.hamming(cols(W), cols(V)).alias("d")).distinct()
 
 
 def both_ways(e: DataFrame) -> DataFrame:
-    return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    """a, b, d of links in both directions."""
+    return e.select("a", "b", "d").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct()
 
 
 def merged(side: DataFrame) -> DataFrame:
@@ -79,23 +85,36 @@ def measured(e: DataFrame, h: DataFrame) -> DataFrame:
 
 def neighbours(h: DataFrame, n: int, rounds: int = EXCHANGES) -> DataFrame:
     """a, rank, b, d: about the NEAR nearest rows of each row of h, which is staged."""
-    near = scratch.staged(_nearest(measured(both_ways(first_links(h, n)), h), NEAR), "graph-near")
+    near = scratch.staged(_nearest(both_ways(first_links(h, n)), NEAR), "graph-near")
     for _ in range(rounds):
-        # links in both directions, the nearest LINKS of each row, so that none offers more than that squared
-        linked = _nearest(near.select("a", "b", "d").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct(), LINKS).select("a", "b")
-        onward = linked.join(merged(linked.select(F.col("a").alias("b"), F.col("b").alias("c"))), "b").where("a <> c").select("a", F.col("c").alias("b"))
-        offered = measured(onward.distinct().join(merged(near.select("a", "b")), ["a", "b"], "left_anti"), h)
-        near = scratch.staged(_nearest(near.select("a", "b", "d").unionByName(offered), NEAR), "graph-near")
+        near = scratch.staged(_nearest(near.select("a", "b", "d").unionByName(offered(near, h)).distinct(), NEAR), "graph-near")
     return near
 
 
-def _kept(d: np.ndarray, w: np.ndarray, alpha: float) -> list[int]:
-    """Of neighbours in order of distance, those that no kept one is closer to than alpha times their own distance (1 for equal fingerprints)."""
-    between = np.bitwise_count(w[:, None].view(np.uint64) ^ w[None].view(np.uint64)).sum(axis=2)
-    kept: list[int] = []
-    for i, own in enumerate(d.tolist()):
-        if not any(between[i, p] < (int(alpha * own) if own else 1) for p in kept):
-            kept.append(i)
+def offered(near: DataFrame, h: DataFrame) -> DataFrame:
+    """a, b, d: the links of a's links that are no farther than its NEAR-th neighbour so far (all of them, while it has fewer): no other can become one of its neighbours.
+
+    A row's links go to those that link to it as one list with their words, and are measured where they arrive, so that the
+    candidates, some LINKS squared for each row, are neither shuffled nor sorted before most of them are gone."""
+    # links in both directions, the nearest LINKS of each row, so that none offers more than that squared
+    linked = _nearest(both_ways(near), LINKS).select("a", "b")
+    words_of_b = h.select(F.col("doc_id").alias("b"), *(F.col(x).alias(y) for x, y in zip(W, V, strict=True)))
+    lists = linked.join(merged(words_of_b), "b").groupBy(F.col("a").alias("b")).agg(F.collect_list(F.struct(F.col("b").alias("c"), *V)).alias("list"))
+    last = near.where(F.col("rank") == NEAR).select("a", F.col("d").alias("worst"), F.col("b").alias("last"))
+    asking = linked.join(merged(h.select(F.col("doc_id").alias("a"), *W)), "a").join(merged(last), "a", "left")
+    met = asking.join(merged(lists), "b").select("a", "worst", "last", *W, F.inline("list"))
+    d = bits.hamming(cols(W), cols(V))
+    may = F.col("worst").isNull() | (d < F.col("worst")) | ((d == F.col("worst")) & (F.col("c") < F.col("last")))
+    return met.where((F.col("a") != F.col("c")) & may).select("a", F.col("c").alias("b"), d.alias("d"))
+
+
+def _kept(d: np.ndarray, w: np.ndarray, alpha: float) -> np.ndarray:
+    """rows x neighbours: of each row's neighbours in order of distance, those that no kept one is closer to than alpha times their own distance (1 for equal fingerprints)."""
+    u = w.view(np.uint64)
+    between = sum(np.bitwise_count(u[:, :, None, k] ^ u[:, None, :, k]).astype(np.int16) for k in range(w.shape[2]))
+    limit, kept = np.where(d > 0, (alpha * d).astype(np.int64), 1), np.zeros(d.shape, bool)
+    for i in range(d.shape[1]):
+        kept[:, i] = ~((between[:, i] < limit[:, i, None]) & kept).any(axis=1)
     return kept
 
 
@@ -105,11 +124,15 @@ def pruned(near: DataFrame, h: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for a, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                d, w = np.array([x["d"] for x in own]), np.array([x["w"] for x in own], np.int64)
-                out += [(a, own[i]["b"], own[i]["d"]) for i in (range(len(own)) if len(own) <= 2 else _kept(d, w, alpha))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["a", "b", "d"])
+            flat, n = batch.column(1).flatten(), pc.list_value_length(batch.column(1)).to_numpy()
+            ids, b, d = batch.column(0).to_numpy(), flat.field("b").to_numpy(), flat.field("d").to_numpy()
+            w, first, keep = flat.field("w").flatten().to_numpy().reshape(len(flat), -1), np.cumsum(n) - n, np.ones(len(flat), bool)
+            for m in np.unique(n[n > 2]).tolist():  # rows of as many neighbours at once
+                rows, step = np.flatnonzero(n == m), max(1, PRUNED // (m * m))
+                for low in range(0, len(rows), step):
+                    at = first[rows[low : low + step], None] + np.arange(m)
+                    keep[at] = _kept(d[at], w[at], alpha)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[keep]), pa.array(b[keep]), pa.array(d[keep].astype(np.int64))], ["a", "b", "d"])
 
     return lists.mapInArrow(run, "a long, b long, d long")
 
@@ -118,8 +141,7 @@ def edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The staged words and the staged graph a, b, d: diverse edges in both directions, the MOST nearest of each row."""
     h = scratch.staged(words(spark, sf_dir), "graph-words")
     sparse = pruned(neighbours(h, h.count()), h)
-    every = sparse.unionByName(sparse.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct()
-    return h, scratch.staged(_nearest(every, MOST).select("a", "b", "d"), "graph-edges")
+    return h, scratch.staged(_nearest(both_ways(sparse), MOST).select("a", "b", "d"), "graph-edges")
 
 
 def beam(h: DataFrame, graph: DataFrame, queries: DataFrame, k: int, size: int = BEAM, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
@@ -129,14 +151,15 @@ def beam(h: DataFrame, graph: DataFrame, queries: DataFrame, k: int, size: int =
     state = tiles.nearest(seeds, queries, ENTRIES, tiles.hamming, True).select(F.col("query_id").alias("q_id"), F.col("doc_id").alias("b"), F.col("score").cast("long").alias("d"), F.lit(False).alias("done"))
     state = scratch.staged(state, "beam")
     for _ in range(rounds):
-        open_ = _nearest(state, size, "q_id").where("not done").drop("rank")
-        chosen = scratch.staged(_nearest(open_, width, "q_id").select("q_id", "b"), "beam-open")
+        chosen = scratch.staged(_nearest(state.where("not done"), width, "q_id").select("q_id", "b"), "beam-open")
         if chosen.isEmpty():
             break
         met = chosen.join(merged(graph.select(F.col("a").alias("b"), F.col("b").alias("c"))), "b").select("q_id", F.col("c").alias("b")).distinct().join(merged(state.select("q_id", "b")), ["q_id", "b"], "left_anti")
         new = met.join(merged(h.select(F.col("doc_id").alias("b"), *W)), "b").join(merged(queries), "q_id").select("q_id", "b", bits.hamming(cols(W), cols([f"q_{w}" for w in W])).alias("d"), F.lit(False).alias("done"))
         now = chosen.select("q_id", "b", F.lit(True).alias("now"))
-        state = scratch.staged(state.join(merged(now), ["q_id", "b"], "left").select("q_id", "b", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")).unionByName(new), "beam")
+        seen = state.join(merged(now), ["q_id", "b"], "left").select("q_id", "b", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        # what falls out of the best never comes back, as they only get nearer: if it is met again, it falls out again
+        state = scratch.staged(_nearest(seen.unionByName(new), size, "q_id").drop("rank"), "beam")
     found = state.select(F.col("q_id").alias("query_id"), F.col("b").alias("doc_id"), F.col("d").alias("score"))
     return topk(found.where("query_id <> doc_id"), k, ["query_id"], [F.asc("score"), F.asc("doc_id")])
 

@@ -358,3 +358,52 @@ def test_distances_of_shares_that_are_zero():
     js = (np.log2(2 / 1.36) + 0.36 * np.log2(0.72 / 1.36) + 0.64 * np.log2(2)) / 2
     assert np.allclose(out["jensen_shannon"][:2, :2], [[0, js], [js, 0]], atol=1e-6) and np.allclose(out["chi_square"][0, 1], ((a - b) ** 2 / (a + b)).sum(), atol=1e-6)
     assert np.isnan(out["jensen_shannon"][2]).all() and np.isnan(out["chi_square"][:, 2]).all()
+
+
+def test_exchange_offers_only_what_can_be_a_neighbour(spark, monkeypatch):
+    """Links of links are measured where they meet; those that are farther than the last neighbour so far go before they are shuffled."""
+    monkeypatch.setattr(graph, "NEAR", 4)
+    monkeypatch.setattr(graph, "LINKS", 6)
+    r = np.random.default_rng(12)
+    w = r.integers(-(2**63), 2**63 - 1, (80, 8))
+    d = np.bitwise_count((w[:, None] ^ w[None]).view(np.uint64)).sum(axis=2).astype(int)
+    h = spark.createDataFrame([(i, *row) for i, row in enumerate(w.tolist())], "doc_id long, " + ", ".join(f"{x} long" for x in encode.WORDS))
+    near = {a: sorted((int(d[a, b]), int(b)) for b in r.choice([i for i in range(80) if i != a], 2 if a % 7 == 0 else 4, False)) for a in range(80)}
+    rows = [(a, n + 1, b, x) for a, links in near.items() for n, (x, b) in enumerate(links)]
+    both = {(a, b) for a, _, b, _ in rows} | {(b, a) for a, _, b, _ in rows}
+    linked = {a: [b for _, b in sorted((int(d[a, b]), b) for x, b in both if x == a)[:6]] for a in range(80)}
+    may = lambda a, c: len(near[a]) < 4 or (int(d[a, c]), c) <= near[a][-1]
+    want = {(a, c, int(d[a, c])) for a in range(80) for b in linked[a] for c in linked[b] if c != a and may(a, c)}
+    got = {tuple(x) for x in graph.offered(spark.createDataFrame(rows, "a long, rank int, b long, d long"), h).collect()}
+    known = {(a, b, x) for a, _, b, x in rows}
+    assert got - known == want - known and len(want - known) > 20
+
+
+def test_beam_keeps_its_best_alone(spark, monkeypatch):
+    """A query's state does not grow with the rows that it has met."""
+    states = []
+    keep = graph.scratch.staged
+    h, edges = graph.edges(spark, SF)
+    monkeypatch.setattr(graph.scratch, "staged", lambda df, label: states.append(keep(df, label)) or states[-1] if label == "beam" else keep(df, label))
+    graph.beam(h, edges, fingerprints.asked(h).limit(5), 5, size=12, width=4, rounds=3)
+    assert len(states) == 4 and all(max(r["count"] for r in s.groupBy("q_id").count().collect()) <= 12 for s in states)
+
+
+def test_pruning_of_many_rows_at_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PRUNED", 100)
+    r = np.random.default_rng(13)
+    w = r.integers(-(2**63), 2**63 - 1, (40, 8))
+    w[20:] = w[:20] ^ (1 << r.integers(0, 60, (20, 8)))  # near ones
+    w[39] = w[38]
+    d = np.bitwise_count((w[:, None] ^ w[None]).view(np.uint64)).sum(axis=2).astype(int)
+    h = spark.createDataFrame([(i, *row) for i, row in enumerate(w.tolist())], "doc_id long, " + ", ".join(f"{x} long" for x in encode.WORDS))
+    rows, want = [], set()
+    for a in range(40):
+        own = sorted((int(d[a, b]), int(b)) for b in r.choice([i for i in range(40) if i != a], a % 9 + 1, False))
+        rows += [(a, n + 1, b, x) for n, (x, b) in enumerate(own)]
+        kept = []
+        for x, b in own:
+            if len(own) <= 2 or not any(d[b, p] < (x or 1) for _, p in kept):
+                kept.append((x, b))
+        want |= {(a, b, x) for x, b in kept}
+    assert {tuple(x) for x in graph.pruned(spark.createDataFrame(rows, "a long, rank int, b long, d long"), h).collect()} == want
